@@ -24,7 +24,7 @@ CACHED = 500_000
 SAMPLED = 4000
 _LETTERS, _DIGITS, _SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
 _shapes: dict[str, int] = {}
-_words: dict[str, int] = {}
+_words: dict[str, tuple[int, int]] = {}
 
 
 def shape(token: str) -> int:
@@ -38,13 +38,14 @@ def shape(token: str) -> int:
     return found
 
 
-def word(token: str) -> int:
-    """A number for a token without marks around it, in lower case."""
+def word(token: str) -> tuple[int, int]:
+    """Numbers for a token without marks around it, in lower case, and for its first four letters (the same number again for shorter words)."""
     if (found := _words.get(token)) is None:
-        form = re.sub(r"^\W+|\W+$", "", token).lower()
+        form = re.sub(r"^\W+|\W+$", "", token).lower().encode("utf-8", "surrogatepass").decode("utf-8", "replace")
         if len(_words) >= CACHED:
             _words.clear()
-        found = _words[token] = zlib.crc32(form.encode("utf-8", "surrogatepass"))
+        whole = zlib.crc32(form.encode())
+        found = _words[token] = (whole, zlib.crc32(f"{form[:4]}*".encode()) if len(form) > 4 else whole)
     return found
 
 
@@ -75,10 +76,14 @@ def shape_features(text: str | None) -> np.ndarray:
 
 
 def word_features(text: str | None) -> np.ndarray:
-    """Hashed words, repeats included, in order."""
+    """Hashed words and word beginnings, repeats included."""
     tokens = (text or "").split()
     known = _words.get
-    return _mixed(np.array([known(t) or word(t) for t in tokens], np.uint64), 7) if tokens else np.zeros(0, np.int32)
+    if not tokens:
+        return np.zeros(0, np.int32)
+    codes = np.array([known(t) or word(t) for t in tokens], np.uint64)
+    whole, begin = codes[:, 0], codes[:, 1]
+    return _mixed(np.concatenate((whole, begin[begin != whole])), 7)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[str | None], np.ndarray], train_rest: int = 2, modulus: int = 4) -> DataFrame:
