@@ -17,7 +17,7 @@ CACHED = 1_000_000
 # Printable ASCII, line feed, tab, and letters of Latin-1 and Latin Extended-A are plain: no Unicode version disputes their classes. On them this is the file's pattern.
 _LATIN = "À-ÖØ-öø-ſ"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\sA-Za-z{_LATIN}0-9]+|\s+(?!\S)|\s+"
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_file() -> str:
@@ -27,7 +27,9 @@ def default_file() -> str:
 
 
 class Encoder:
-    def __init__(self, path: str):
+    """texts_only: the strings of special tokens are ordinary text, so that no text has a special id."""
+
+    def __init__(self, path: str, texts_only: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -36,7 +38,8 @@ class Encoder:
         self.library.no_padding()
         self.cut = re.compile(_PIECE).findall
         self.odd = re.compile(rf"[^\n\t\x20-\x7e{_LATIN}]").search
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.library.encode_special_tokens = texts_only
+        self.special = [] if texts_only else [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
         self.kind = np.uint32 if self.library.get_vocab_size() > 1 << 16 else np.uint16
         # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
@@ -48,10 +51,10 @@ class Encoder:
         self.by_model = self._pieces(sample) == self._whole(sample)
 
     @staticmethod
-    def of(path: str) -> Encoder:
-        if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
-        return _ENCODERS[path]
+    def of(path: str, texts_only: bool = False) -> Encoder:
+        if (path, texts_only) not in _ENCODERS:
+            _ENCODERS[path, texts_only] = Encoder(path, texts_only)
+        return _ENCODERS[path, texts_only]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
