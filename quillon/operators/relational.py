@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from math import gcd
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,28 +57,28 @@ def knn(queries: DataFrame, base: DataFrame, k: int, group: str | None = None, b
     sent = queries.withColumn("q_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def nearest(a, b):
-        import pandas as pd
-
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []}).astype({"query_id": "int64", "vec_id": "int64", "distance": "float64"})
         y, ids = np.stack(b["embedding"]).astype(float), b["vec_id"].to_numpy()
         out = []
         for i in range(0, len(a), 512):
             part = a.iloc[i : i + 512]
-            x = np.stack(part["embedding"]).astype(float)
+            x = np.stack(part["a_embedding"]).astype(float)
             d = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0)
-            banned = part["vec_id"].to_numpy()[:, None] == ids
+            banned = part["a_vec_id"].to_numpy()[:, None] == ids
             if group:
-                banned |= part[group].to_numpy()[:, None] == b[group].to_numpy()
+                banned |= part[f"a_{group}"].to_numpy()[:, None] == b[group].to_numpy()
             d[banned] = np.inf
-            for q, row in zip(part["vec_id"], d):
+            for q, row in zip(part["a_vec_id"], d):
                 best = np.lexsort((ids, np.round(row, 9)))[:k]
                 best = best[np.isfinite(row[best])]
                 out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "distance": np.sqrt(row[best])}))
         return pd.concat(out)
 
-    cols = ["vec_id", "embedding", "q_b", *extra]
-    found = sent.select(*cols).groupBy("q_b").cogroup(packed.select(*cols).groupBy("q_b")).applyInPandas(nearest, "query_id long, vec_id long, distance double")
+    cols = ["vec_id", "embedding", *extra]
+    left = sent.select(F.col("q_b").alias("a_b"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = packed.select("q_b", *cols)
+    found = left.groupBy("a_b").cogroup(right.groupBy("q_b")).applyInPandas(nearest, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -88,7 +89,7 @@ def grid_gcd(df: DataFrame, by: str, value: Column, scale: int = 100) -> DataFra
     gaps = points.withColumn("g", F.col("v") - F.lag("v").over(W.partitionBy(by).orderBy("v"))).where("g > 0").select(by, "g").distinct()
 
     @F.pandas_udf("long")
-    def fold(values):
+    def fold(values: pd.Series) -> int:
         return reduce(gcd, (int(v) for v in values))
 
     return gaps.groupBy(by).agg(fold("g").alias("gcd")).select(by, (F.col("gcd") / scale).alias("tick_size"))
