@@ -19,7 +19,7 @@ from quillon.llm.common import cut, id_crc32
 #: Size of the hashed feature space.
 FEATURES = 1 << 18
 #: Words that a worker remembers before it starts anew.
-CACHED = 500_000
+CACHED = 150_000
 #: Labelled rows of each class that a model is fitted on at most; class counts cover all rows.
 SAMPLED = 4000
 _LETTERS, _DIGITS, _SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")

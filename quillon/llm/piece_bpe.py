@@ -31,7 +31,7 @@ from quillon.llm.common import documents
 
 SPACE = "▁"
 #: Words, and pairs of tokens, that a worker remembers before it starts anew.
-CACHED = 400_000
+CACHED = 200_000
 _MODELS: dict[str, PieceBpe] = {}
 
 
