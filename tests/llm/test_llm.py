@@ -448,6 +448,19 @@ def junk(i, r):
     return " ".join(w.upper() + "!!" if bad else w for w in words), int(not bad), int(rude)
 
 
+def test_labels_beyond_the_broadcast_bound(spark, monkeypatch):
+    from quillon.llm import learned, quality
+
+    r = random.Random(9)
+    made = [(i, *junk(i, r)) for i in range(200)]
+    d = spark.createDataFrame([(i, t) for i, t, _, _ in made], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, q) for i, _, q, _ in made], "doc_id long, quality int")
+    one = {g.doc_id: g.score for g in quality.scored(d, lab).collect()}
+    monkeypatch.setattr(learned, "BROADCAST_ROWS", 0)
+    two = {g.doc_id: g.score for g in quality.scored(d, lab).collect()}
+    assert one.keys() == two.keys() and all(math.isclose(one[i], two[i], rel_tol=1e-9, abs_tol=1e-12) for i in one)
+
+
 def test_quality_and_toxicity(spark, docs, none, labels):
     from quillon.llm import quality, toxicity
 
