@@ -27,6 +27,7 @@ class Detector:
     needs: tuple[str, ...] = ("sigma_hat",)
 
 
+# The default parameters, grids and horizons in the registrations below.
 DETECTORS: dict[str, Detector] = {}
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import clip, indicator, log, safe_div
 from quillon.functions.windows import Bars, ewm
 
+# The names of the features, by group, and the windows by bar length.
 GROUPS = {
     "vol_strength": ["rv_fast", "rv_med", "rv_slow", "rv_fast_slow", "rv_accel", "range_vol_fast", "body_vol_fast", "rv_surprise"],
     "vol_asymmetry": ["up_semivar_fast", "down_semivar_fast", "semivar_balance", "down_up_ratio", "negative_rate_med", "return_vol_corr_med", "upper_wick_med", "lower_wick_med"],
