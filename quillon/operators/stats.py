@@ -109,6 +109,8 @@ def decomposition(df: DataFrame, outcome: str, dimensions: list[str]) -> DataFra
     sets = [[], *[[d] for d in dimensions], *[list(p) for p in pairs]]
     # The overall variance rides along in the empty grouping.
     stats = data.groupingSets([[F.col(c) for c in s] for s in sets], *dimensions).agg(F.grouping_id().alias("g"), F.count(outcome).alias("n"), F.avg(outcome).alias("m"), F.var_samp(outcome).alias("v"))
+    # A row for each level and pair of levels of a few categories: taken once here, as filters on the grouping would otherwise be pushed below it and repeat the pass.
+    stats = df.sparkSession.createDataFrame(stats.collect(), stats.schema)
     bit = {d: 1 << (len(dimensions) - 1 - i) for i, d in enumerate(dimensions)}
     every = (1 << len(dimensions)) - 1
     whole = stats.where(F.col("g") == every).select(F.col("m").alias("mu0"), F.col("v").alias("sigma2"))
