@@ -20,6 +20,8 @@ from quillon.llm.common import cut, id_crc32
 FEATURES = 1 << 18
 #: Words that a worker remembers before it starts anew.
 CACHED = 150_000
+#: Up to so many labels are broadcast; beyond, features are joined to them by a shuffle.
+BROADCAST_ROWS = 1 << 20
 #: Labelled rows of each class that a model is fitted on at most; class counts cover all rows.
 SAMPLED = 4000
 _LETTERS, _DIGITS, _SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
@@ -92,11 +94,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, features: Callable[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(features(x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", *b.schema.names[2:], "f"])
 
-    rows = docs.where(F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id")) % modulus != train_rest)).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, f array<int>")
+    rows = docs.where(F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id")) % modulus != train_rest)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    return cut(rows.join(y, "doc_id").select("doc_id", "y", "f"))
+    y = cut(y)
+    if y.count() <= BROADCAST_ROWS:  # 16 bytes each: texts stay where they are and only labelled ones are read into features
+        return cut(rows.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>"))
+    return cut(rows.mapInArrow(run, "doc_id long, f array<int>").join(y, "doc_id").select("doc_id", "y", "f"))  # features are thinner than texts
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
