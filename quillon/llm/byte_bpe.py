@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -40,15 +41,16 @@ class Encoder:
         self.odd = re.compile(rf"[^\n\t\x20-\x7e{_LATIN}]").search
         self.library.encode_special_tokens = texts_only
         self.special = [] if texts_only else [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Pieces(self)
         self.kind = np.uint32 if self.library.get_vocab_size() > 1 << 16 else np.uint16
+        self.code = "I" if self.kind is np.uint32 else "H"
         # The byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on, in order.
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + hidden.index(b) for b in hidden}
         sample = ["e", "\n", "\t", " größer", "ſ", " Àÿ", "à", " ~~", " 12", "ňŉŒ", " '", "Iı"]
         self.by_model = True
-        self.by_model = self._pieces(sample) == self._whole(sample)
+        self.by_model = [self._piece(x) for x in sample] == self._whole(sample)
 
     @staticmethod
     def of(path: str, texts_only: bool = False) -> Encoder:
@@ -59,21 +61,28 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Single pieces go straight to the library's model, in its byte alphabet."""
+    def _piece(self, piece: str) -> bytes:
+        """A single piece goes straight to the library's model, in its byte alphabet."""
         if not self.by_model:
-            return self._whole(pieces)
-        tokenize, kind = self.library.model.tokenize, self.kind
-        return [np.array([t.id for t in tokenize(p.encode().decode("latin-1").translate(self.alphabet))], kind).tobytes() for p in pieces]
+            return self._whole([piece])[0]
+        return array(self.code, [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, as unsigned 16-bit integers (32-bit for large vocabularies)."""
         if len(self.pieces) > CACHED:
             self.pieces.clear()
-        cuts = [self.cut(x) if x and not self.odd(x) and not any(s in x for s in self.special) else None for x in texts]
-        found = [list(map(self.pieces.get, c)) if c is not None else None for c in cuts]
-        new = list({p for c, f in zip(cuts, found) if c and None in f for p, y in zip(c, f) if y is None})
-        self.pieces.update(zip(new, self._pieces(new)))
-        odd = iter(self._whole([x or "" for x, c in zip(texts, cuts) if c is None]))
-        out = [next(odd) if c is None else b"".join(map(self.pieces.__getitem__, c) if None in f else f) for c, f in zip(cuts, found)]
-        return [np.frombuffer(x, self.kind) for x in out]
+        known, cut, plain = self.pieces.__getitem__, self.cut, [bool(x) and not self.odd(x) and not any(s in x for s in self.special) for x in texts]
+        odd = iter(self._whole([x or "" for x, p in zip(texts, plain) if not p]))
+        return [np.frombuffer(b"".join(map(known, cut(x))) if p else next(odd), self.kind) for x, p in zip(texts, plain)]
+
+
+class _Pieces(dict):
+    """Ids of pieces as bytes; what is missing is encoded and kept."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self[piece] = self.encoder._piece(piece)
+        return found

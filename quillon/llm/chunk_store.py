@@ -41,7 +41,7 @@ _A = 0x9E3779B97F4A7C15
 
 def rolling(ids: np.ndarray) -> np.ndarray:
     """At each id the hash of the last 16 (fewer at the start), by doubling the window four times."""
-    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (ids.astype(np.int64) + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)  # -1 is nothing and hashes to 0
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
     size, factor = 1, _A
@@ -53,21 +53,31 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return h
 
 
+def all_cut_points(docs: list[np.ndarray]) -> list[list[int]]:
+    """Ends of the chunks of each document's ids. Documents are hashed together, apart from each other by a window of nothing."""
+    size = np.array([len(x) for x in docs], np.int64)
+    begin = np.cumsum(size + WINDOW) - size - WINDOW
+    flat = np.full(int(size.sum()) + WINDOW * len(docs), -1, np.int64)
+    for at, ids in zip(begin.tolist(), docs):
+        flat[at : at + len(ids)] = ids
+    marks = np.flatnonzero((rolling(flat) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) & (flat >= 0)) + 1
+    of = np.searchsorted(marks, begin + 1).tolist(), np.searchsorted(marks, begin + size, side="right").tolist()
+    out = []
+    for at, n, i, j in zip(begin.tolist(), size.tolist(), *of):
+        own, ends, last, k = (marks[i:j] - at).tolist(), [], 0, 0
+        while n - last > LEAST:
+            while k < len(own) and own[k] < last + LEAST:
+                k += 1
+            last = min(own[k] if k < len(own) else n, last + MOST, n)
+            ends.append(last)
+        if last < n:
+            ends.append(n)
+        out.append(ends)
+    return out
+
+
 def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document's ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
-    marks = np.flatnonzero(rolling(ids) >> np.uint64(40) & np.uint64(MEAN - 1) == 0) + 1
-    ends, last = [], 0
-    while n - last > LEAST:
-        i = int(np.searchsorted(marks, last + LEAST))
-        end = min(int(marks[i]) if i < len(marks) else n, last + MOST, n)
-        ends.append(end)
-        last = end
-    if last < n:
-        ends.append(n)
-    return ends
+    return all_cut_points([ids])[0]
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -93,11 +103,11 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
                 kind, key, doc, body, payload = [], [], [], [], []
-                for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
-                    ids = np.append(ids, ids.dtype.type(END))
-                    entries, last = [], 0
-                    for end in cut_points(ids):
-                        raw = ids[last:end].tobytes()
+                streams = [np.append(ids, ids.dtype.type(END)) for ids in encoder.encode(part.column(1).to_pylist())]
+                for doc_id, ids, ends in zip(part.column(0).to_pylist(), streams, all_cut_points(streams)):
+                    entries, last, whole, wide = [], 0, ids.tobytes(), ids.itemsize
+                    for end in ends:
+                        raw = whole[last * wide : end * wide]
                         address = _address(raw)
                         entries.append(address + (end - last).to_bytes(4, "little"))
                         last = end
@@ -213,6 +223,12 @@ def shifted(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return out
 
 
+def ones_shifted(zeros: np.ndarray) -> np.ndarray:
+    """The register of all ones after so many zero bytes; each count is worked out once."""
+    counts, at = np.unique(zeros, return_inverse=True)
+    return shifted(np.full(len(counts), 0xFFFFFFFF, np.uint32), counts)[at]
+
+
 def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> DataFrame:
     """From the files: doc_id, start, n_tokens, ids_crc32 (of the ids as 32-bit integers), chunks, verified (every chunk was there and hashed to its address, the length and the Merkle root agree)."""
     kind = _kind(tokenizer)
@@ -223,7 +239,7 @@ def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> Dat
             address, raw = b.column(0).to_pylist(), b.column(1).to_pylist()
             ids = [np.frombuffer(x, kind).astype("<u4") for x in raw]
             size = np.array([len(x) for x in ids], np.int64)
-            crc = np.array([zlib.crc32(x.tobytes()) for x in ids], np.uint32) ^ full ^ shifted(np.full(len(ids), full), 4 * size)
+            crc = np.array([zlib.crc32(x.tobytes()) for x in ids], np.uint32) ^ full ^ ones_shifted(4 * size)
             good = [_address(x) == a for a, x in zip(address, raw)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc.astype(np.int64)), pa.array(size), pa.array(good, pa.bool_())], names=["body", "crc", "size", "good"])
 
@@ -236,7 +252,7 @@ def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> Dat
         for b in batches:
             doc, start, n, root, entries, crc, read, count = b.columns[:8]
             size = n.to_numpy()
-            whole = crc.to_numpy().astype(np.uint32) ^ shifted(np.full(len(size), full), 4 * size) ^ full
+            whole = crc.to_numpy().astype(np.uint32) ^ ones_shifted(4 * size) ^ full
             leaves = [[e[i : i + 16] for i in range(0, len(e), 20)] for e in entries.to_pylist()]
             good = [len(x) == c and r == s and merkle(x) == t for x, c, r, s, t in zip(leaves, count.to_pylist(), read.to_pylist(), size.tolist(), root.to_pylist())]
             yield pa.RecordBatch.from_arrays([doc, start, n, pa.array(whole.astype(np.int64)), count, pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "chunks", "verified"])
