@@ -127,8 +127,19 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table, counts[:, i == -1].sum(axis=1)
 
 
-def sample(rows: DataFrame, each: int = SAMPLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``each`` rows of each class, the first by a hash of the id."""
-    found = [rows.where(F.col("y") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each).select("y", "f").toArrow() for c in (0, 1)]
+def sample(rows: DataFrame, n: np.ndarray, each: int = SAMPLED) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of at most ``each`` rows of each class, the first by a hash of the id. n: rows of each class.
+
+    Only rows with hashes low enough for about twice as many are sorted, so what meets in one task doesn't grow with the table.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    found = []
+    for c in (0, 1):
+        own = rows.where(F.col("y") == c)
+        low = own.where(place <= min(int(2 * each / max(int(n[c]), 1) * 2.0**63), 2**63 - 1))
+        part = low.orderBy(place, "doc_id").limit(each).select("y", "f").toArrow()
+        if part.num_rows < min(each, int(n[c])):  # chance left too few
+            part = own.orderBy(place, "doc_id").limit(each).select("y", "f").toArrow()
+        found.append(part)
     f = [np.asarray(x, np.int64) for t in found for x in t["f"].to_pylist()]
     return f, np.concatenate([t["y"].to_numpy() for t in found]).astype(np.int64)

@@ -110,7 +110,7 @@ def fit(docs: DataFrame, label_rows: DataFrame, words: int = WORDS, each: int =
     column = none.copy()
     column[best] = np.arange(len(best))
     marked = (z >= MARKED) & (ratio >= FAR_MORE)
-    f, y = sample(rows, each)
+    f, y = sample(rows, n, each)
     x = np.zeros((len(f), len(best)))
     grade = np.zeros(len(f), np.int64)
     for i, found in enumerate(f):
