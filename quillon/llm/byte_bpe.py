@@ -16,6 +16,7 @@ import numpy as np
 #: Pieces that a worker remembers before it starts anew.
 CACHED = 1_000_000
 # Printable ASCII, line feed, tab, and letters of Latin-1 and Latin Extended-A are plain: no Unicode version disputes their classes. On them this is the file's pattern.
+_PLAIN = bytes([9, 10, *range(32, 127)])
 _LATIN = "À-ÖØ-öø-ſ"
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z{_LATIN}]+| ?[0-9]+| ?[^\sA-Za-z{_LATIN}0-9]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -48,6 +49,7 @@ class Encoder:
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: 256 + hidden.index(b) for b in hidden}
+        self.blank, self.feed, self.tab = (chr(self.alphabet[b]) for b in b" \n\t")
         sample = ["e", "\n", "\t", " größer", "ſ", " Àÿ", "à", " ~~", " 12", "ňŉŒ", " '", "Iı"]
         self.by_model = True
         self.by_model = [self._piece(x) for x in sample] == self._whole(sample)
@@ -65,13 +67,19 @@ class Encoder:
         """A single piece goes straight to the library's model, in its byte alphabet."""
         if not self.by_model:
             return self._whole([piece])[0]
-        return array(self.code, [t.id for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+        shown = piece.replace(" ", self.blank).replace("\n", self.feed).replace("\t", self.tab) if piece.isascii() else piece.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+
+    def plain(self, text: str) -> bool:
+        """Only characters on which the pattern is sure, and no special token's string."""
+        sure = not text.encode().translate(None, _PLAIN) if text.isascii() else not self.odd(text)
+        return sure and not any(s in text for s in self.special)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text, as unsigned 16-bit integers (32-bit for large vocabularies)."""
         if len(self.pieces) > CACHED:
             self.pieces.clear()
-        known, cut, plain = self.pieces.__getitem__, self.cut, [bool(x) and not self.odd(x) and not any(s in x for s in self.special) for x in texts]
+        known, cut, plain = self.pieces.__getitem__, self.cut, [bool(x) and self.plain(x) for x in texts]
         odd = iter(self._whole([x or "" for x, p in zip(texts, plain) if not p]))
         return [np.frombuffer(b"".join(map(known, cut(x))) if p else next(odd), self.kind) for x, p in zip(texts, plain)]
 

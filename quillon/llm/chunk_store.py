@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     schema = "kind int, key long, doc_id long, body binary, payload binary"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut_up, schema)
     log = rows.repartition(n, "key").mapInArrow(once, schema).drop("key")
-    log.write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/log")
+    log.write.partitionBy("kind").option("compression", "snappy").parquet(f"{path}/log")
     _write_recipes(spark, path)
 
 
