@@ -44,17 +44,18 @@ def exact_offset(df: DataFrame, by: list[str], on: str, value: str, delay: str,
     return timed.join(entry, [*by, "entry_at"], "left").join(leave, [*by, "exit_at"], "left")
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, group: str | None = None, blocks: int = 16) -> DataFrame:
+def knn(queries: DataFrame, base: DataFrame, k: int, group: str | None = None, blocks: int = 16, query_blocks: int = 1) -> DataFrame:
     """Exact k nearest of ``base`` (vec_id, embedding) for each query: query_id, vec_id, distance, rank.
 
-    Queries go to every block of the base in a block-by-block join; inside a block one matrix product serves an Arrow batch, and only k rows a query leave the block. With ``group``
+    Each of ``query_blocks`` blocks of queries meets each of ``blocks`` blocks of the base, so a task holds one block of either. Queries go to every block of the base in a block-by-block join; inside a block one matrix product serves an Arrow batch, and only k rows a query leave the block. With ``group``
     rows of the query's own group don't count.
     """
     import numpy as np
 
     extra = [group] if group else []
-    packed = base.withColumn("q_b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = queries.withColumn("q_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    packed = base.withColumns({"q_b": dealt(blocks), "q_q": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))})
+    sent = queries.withColumns({"q_q": dealt(query_blocks), "q_b": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
 
     def nearest(a, b):
         if not len(a) or not len(b):
@@ -76,9 +77,9 @@ def knn(queries: DataFrame, base: DataFrame, k: int, group: str | None = None, b
         return pd.concat(out)
 
     cols = ["vec_id", "embedding", *extra]
-    left = sent.select(F.col("q_b").alias("a_b"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = packed.select("q_b", *cols)
-    found = left.groupBy("a_b").cogroup(right.groupBy("q_b")).applyInPandas(nearest, "query_id long, vec_id long, distance double")
+    left = sent.select(F.col("q_b").alias("a_b"), F.col("q_q").alias("a_q"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = packed.select("q_b", "q_q", *cols)
+    found = left.groupBy("a_b", "a_q").cogroup(right.groupBy("q_b", "q_q")).applyInPandas(nearest, "query_id long, vec_id long, distance double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.round("distance", 9), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -150,20 +150,39 @@ def isotonic_curve(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     return model.transform(curve).withColumnRenamed("prediction", "isotonic")
 
 
+#: Turns in which half of the nodes may move, before neighbours move one at a time.
+TURNS = 40
+
+
 def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """node, community by synchronous label propagation over a neighbour graph: the most frequent label around a node, the smallest on a tie.
+    """node, community by label propagation over a neighbour graph, up to a fixed point: no label is more frequent around a node than its own.
 
-    edges: a, b in one direction. Two shuffles a round, the state is one label a node; lineage is cut by the caller's checkpoint directory where one is set.
+    edges: a, b in one direction. ``rounds`` synchronous rounds (the most frequent label around a node, the smallest on a tie) come first. They may swing for ever, so
+    afterwards a node moves only to a strictly more frequent label, and a hash of node and turn lets one half of the nodes move at a time. After ``TURNS`` such turns, of neighbours that want to move
+    only the first by the hash does: each move then makes more edges join equal labels, so the turns end. The state is one label a node; lineage is cut each round, in the caller's checkpoint directory where one is set.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
+    cut = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() is not None else (lambda df: df.localCheckpoint())
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    best = F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("x")
+    turn = 0
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a", "label").agg(F.count("*").alias("n"))
-        best = around.groupBy("a").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-        labels = best.select(F.col("a").alias("node"), "label")
-        if labels.sparkSession.sparkContext.getCheckpointDir() is not None:
-            labels = labels.checkpoint()
-    return labels.withColumnRenamed("label", "community")
+        if turn < rounds:
+            labels = cut(around.groupBy("a").agg(best).select(F.col("a").alias("node"), "x.label"))
+            turn += 1
+            continue
+        own = around.join(labels.select(F.col("node").alias("a"), F.col("label").alias("own")), "a").groupBy("a", "own")
+        seen = own.agg(best, F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("n"))), F.lit(0)).alias("n_own"))
+        draw = F.xxhash64("a", F.lit(turn))
+        wish = cut(seen.select(F.col("a").alias("node"), F.col("own").alias("label"), F.when(F.col("x.n") > F.col("n_own"), F.col("x.label")).alias("to"), F.struct(draw, "a").alias("at"), (draw % 2 == 0).alias("goes")))
+        if not wish.where("to IS NOT NULL").take(1):
+            return wish.select("node", F.col("label").alias("community"))
+        if turn >= rounds + TURNS:
+            first = both.join(wish.where("to IS NOT NULL").select(F.col("node").alias("b"), F.col("at").alias("q_at")), "b").groupBy("a").agg(F.min("q_at").alias("q_at"))
+            wish = cut(wish.join(first, wish["node"] == first["a"], "left").withColumn("goes", F.col("q_at").isNull() | (F.col("at") < F.col("q_at"))).select(*wish.columns))
+        labels = wish.select("node", F.when(F.col("goes") & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("label")).alias("label"))
+        turn += 1
 
 
 def r_squared(df: DataFrame, by: list[str], y: str, prediction: str, baseline: str) -> DataFrame:

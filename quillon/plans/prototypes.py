@@ -112,8 +112,10 @@ def kmeans_states(spark, d):
 
 def neighbour_communities(spark, d):
     e = _e(spark, d)
-    near = knn(e.where("vec_id % 4 = 0"), e.where("vec_id % 4 = 0"), 8)
-    return S.communities(near.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b")), 5)
+    blocks = max(16, -(-e.count() // 8192))
+    near = knn(e, e, 16, blocks=blocks, query_blocks=blocks // 4)
+    found = S.communities(near.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b")), 5)
+    return e.select(F.col("vec_id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
 def _split(spark, d):

@@ -232,3 +232,22 @@ def test_entry_and_names(spark):
     q, o = e.queries(), e.oracle_sql()
     assert set(o) <= set(q) and len(q) > 100
     assert e.entry(spark).count() > 0
+
+
+def test_communities_of_all_rows_at_a_fixed_point(spark, tmp_path):
+    from quillon.operators.states import communities
+    from quillon.plans.prototypes import neighbour_communities
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(60, 8)) + 6 * np.eye(8)[np.arange(60) % 3]
+    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.node: r.community for r in neighbour_communities(spark, str(tmp_path)).collect()}
+    assert set(got) == set(range(60))
+    d = ((vectors[:, None] - vectors) ** 2).sum(2)
+    np.fill_diagonal(d, np.inf)
+    edges = {(i, int(j)) for i in range(60) for j in np.argsort(d[i])[:16]}
+    star = {(0, 1), (0, 2)}  # synchronous rounds swing on it
+    for links, label in ((edges, got), (star, {r.node: r.community for r in communities(spark.createDataFrame(sorted(star), "a long, b long"), 5).collect()})):
+        for i in label:
+            around = [label[j] for j in {y for x, y in links if x == i} | {x for x, y in links if y == i}]
+            assert around.count(label[i]) == max(map(around.count, around))
