@@ -204,6 +204,23 @@ def test_mixing(docs, none):
     assert mixed_documents(none).count() == 0
 
 
+def test_mixing_small_sources_of_a_large_corpus(spark):
+    from quillon.llm.mixing import GOLDEN, mix, points_below
+
+    for slots, low, whole in ((1000, 0, 700), (1000, 1, 700), (1000, 333, 700), (1000, 700, 700), (7, 3, 5)):
+        assert points_below(slots, low, whole) == sum(j * GOLDEN % 1 * whole < low for j in range(1, slots + 1))
+    small = {f"s{i:03}": 1000 + 500 * (i % 40) for i in range(50)}
+    data = [(i, "big", 10**9) for i in range(5)] + [(100 * k + i, s, n // 10) for k, (s, n) in enumerate(small.items(), 1) for i in range(10)]
+    taken, target = Counter(), {}
+    for g in mix(spark.createDataFrame(data, "doc_id long, source string, size long")).collect():
+        s = "big" if g.doc_id < 100 else f"s{g.doc_id // 100 - 1:03}"
+        taken[s] += g.taken
+        target[s] = g.target
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 0.001 * t + 5, s
+    assert all(target[s] == 3 * n for s, n in small.items())
+
+
 def test_sentencepiece(docs, none):
     from sentencepiece import SentencePieceProcessor
 
