@@ -152,6 +152,26 @@ def test_drop_near_copies(docs, none):
     assert drop_near_copies(none).count() == 0
 
 
+def test_near_copies_from_similarity_08_on_go(spark):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 120)]
+        for edits in (0, 1, 2, 3, 5):
+            copy = list(base)
+            for at in rng.choice(120, edits, replace=False):
+                copy[at] = f"n{rng.integers(0, 10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    root = union(range(len(sets)), near)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [x.doc_id for x in cp.near_copies(spark, docs, "").collect()]
+    assert sorted(got) == sorted({r: min(i for i in root if root[i] == r) for r in root.values()}.values())
+
+
 def test_components(spark):
     from quillon.llm.components import components
 
