@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -35,11 +37,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where it is unset, one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where it is unset we set one: a temporary folder if the whole of Spark runs on this machine, else a folder in the warehouse.
+    """
     sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        local = re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master)
+        own = tempfile.mkdtemp(prefix="quillon-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillon-checkpoints"
+        sc.setCheckpointDir(told or own)
+    return told or sc.getCheckpointDir()
 
 
 def fresh_dir(spark: SparkSession, kind: str) -> str:
@@ -57,6 +65,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_sized(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined to their group. groups: key, size (rows of the group) and what else it brings; rows: to be read twice; total: all rows.
+
+    A group of more than total / 2^16 rows (there are fewer than 2^16 of them) is broadcast, so a hot key's rows stay where they are; all others meet by a shuffle.
+    """
+    bound = max(1000, total >> 16)
+    hot = F.broadcast(groups.where(F.col(size) > bound))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(size) <= bound), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row that differ where only nulls or their places do. Nested values are hashed as JSON with their nulls."""
+    nested = lambda t: isinstance(t, T.ArrayType | T.MapType | T.StructType)
+    flat = [F.to_json(F.struct(f"`{f.name}`"), {"ignoreNullFields": "false"}) if nested(f.dataType) else F.col(f"`{f.name}`") for f in df.schema]
+    gaps = F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns])
+    return [F.xxhash64(*flat, gaps).alias("q_h1"), F.xxhash64(F.lit(1), *flat, gaps).alias("q_h2")]
+
+
 def packed(df: DataFrame, *more: Column, row: str = "q_row") -> DataFrame:
     """All columns as one struct, so that no name of theirs can clash with ours, and what is computed from them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(row), *more)
