@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import LOWER_BYTES, cut, documents, packed, partitions
+from quillon.llm.common import LOWER_BYTES, cut, documents, join_sized, packed, partitions, row_hashes
 from quillon.llm.components import components
 
 WIDTHS = (13, 13, 13, 13, 12)
@@ -186,36 +186,37 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
         if held:
             yield found(np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held]))
 
-    n = partitions(distinct.sparkSession)
+    n = max(partitions(distinct.sparkSession), distinct.count() * 33 >> 22)  # some 4 million filed entries a task
     return distinct.mapInArrow(keyed, "key long, fp long").repartition(n, "key").sortWithinPartitions("key").mapInArrow(linked, "a long, b long")
 
 
 def fingerprint_groups(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """rows: (doc_id, fp). Returns (fp, root, component_id) with one row per distinct fingerprint; root names the component."""
-    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    """rows: (doc_id, fp). Returns (fp, root, component_id, size) with one row per distinct fingerprint; root names the component, size counts the rows."""
+    least = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")))
     roots = components(links(least.select("fp"), distance))
-    placed = cut(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
-    return placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    placed = cut(least.join(roots, least["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "size"))
+    named = cut(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    return join_sized(placed, named, "root", "members", placed.count()).select("fp", "root", "component_id", "size")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
     rows = cut(with_fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", words).select("doc_id", "fp"))
-    return rows.join(cut(fingerprint_groups(rows, distance)), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    placed = join_sized(rows, cut(fingerprint_groups(rows, distance)), "fp", "size", rows.count())
+    return placed.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """docs' rows, whole, one of each component: the row with the smallest doc_id (a null id only where there is no other).
 
-    Rows are told apart by a 128-bit hash of all their columns, so one of fully repeated rows stays too.
+    Rows are told apart by a 128-bit hash of all their columns and nulls, so one of fully repeated rows stays too.
     """
     print_of = ["q_h1", "q_h2"]
-    hashed = packed(docs).select("q_row", F.xxhash64("q_row").alias("q_h1"), F.xxhash64("q_row", F.lit(1)).alias("q_h2"))
+    hashed = packed(docs, *row_hashes(docs))
     thin = hashed.select(F.col(f"q_row.`{id_col}`").cast("long").alias("doc_id"), F.col(f"q_row.`{text_col}`").alias("text"), *print_of)
     rows = cut(with_fingerprints(thin, "text", words).select("doc_id", "fp", *print_of))
-    groups = cut(fingerprint_groups(rows, distance))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), *print_of)
-    stays = rows.join(groups, "fp").groupBy("root").agg(F.min(order).alias("s")).select("s.*")
+    stays = join_sized(rows, cut(fingerprint_groups(rows, distance)), "fp", "size", rows.count()).groupBy("root").agg(F.min(order).alias("s")).select("s.*")
     stays = cut(stays.select(*print_of).distinct())
     return hashed.join(stays, print_of, "left_semi").dropDuplicates(print_of).select("q_row.*")
 
