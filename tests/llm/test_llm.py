@@ -241,6 +241,20 @@ def test_mixing_small_sources_of_a_large_corpus(spark):
     assert all(target[s] == 3 * n for s, n in small.items())
 
 
+def test_mixing_ties_and_nulls(spark):
+    from quillon.llm.mixing import mix, mixed_documents
+
+    r = random.Random(8)
+    made = spark.createDataFrame([(None if i % 3 else i % 5, f"s{i % 4}", r.randint(0, 40)) for i in range(500)], "doc_id long, source string, size long")
+    key = lambda d: Counter(map(tuple, d.collect()))
+    assert key(mix(made.repartition(7))) == key(mix(made.repartition(2, "size")))
+    odd = spark.createDataFrame([(1, "a b c", "x", None), (1, "a b c", None, "x")], "doc_id long, text string, source string, lang string")
+    got = {tuple(x) for x in mixed_documents(odd).collect()}
+    assert got <= {tuple(x) for x in odd.collect()}
+    one = spark.createDataFrame([(1, "a b c", "x", None), (2, "a b c", "x", "y"), (1, "a b c", "x", "y")], odd.schema)
+    assert {tuple(x) for x in mixed_documents(one).collect()} == {tuple(x) for x in one.collect()}
+
+
 def test_sentencepiece(docs, none):
     from sentencepiece import SentencePieceProcessor
 
@@ -277,22 +291,53 @@ def test_lm_score(docs, none):
             c.update(w)
             pairs.update(zip(["<s>", *w[:-1]], w))
     n, v, starts = sum(c.values()), len(c), sum(split(i) != 2 for i, _ in tokens)
-    rows_ = ngram._rows(docs)
-    table = ngram.word_table(rows_)
-    weights = ngram.learn(ngram.binned(ngram.dealt(rows_, table, 4), table).toArrow(), table.v_counted)
-    assert np.allclose(weights.sum(axis=1), 1) and (table.n_all, table.v_all) == (n, v)
+    # An independent expectation-maximisation, on the deleted part's occurrences one by one, with the estimates binned as stated.
+    held = lambda i: split(i) == 3
+    c0, pairs0 = Counter(), Counter()
+    for i, w in tokens:
+        if split(i) not in (2, 3):
+            c0.update(w)
+            pairs0.update(zip(["<s>", *w[:-1]], w))
+    n0, v0 = sum(c0.values()), len(c0)
+    starts0 = sum(split(i) not in (2, 3) for i, _ in tokens)
+    eighth = lambda q: 2 ** (round(8 * math.log2(q)) / 8) if q else 0
+    seen = {}
+    for i, w in tokens:
+        if held(i):
+            for a, b in zip(["<s>", *w[:-1]], w):
+                f = starts0 if a == "<s>" else c0[a]
+                seen.setdefault(int(math.log2(f)) + 1 if f else 0, []).append((eighth(pairs0[a, b] / f if f else 0), eighth(c0[b] / n0), 1 / (v0 + 1)))
+
+    def em(own):
+        k = [1 / 3] * 3
+        for _ in range(100 if own else 0):
+            got_ = [1.0] * 3
+            for q in own:
+                s = sum(x * y for x, y in zip(k, q))
+                got_ = [g + x * y / s for g, x, y in zip(got_, k, q)]
+            new = [g / (len(own) + 3) for g in got_]
+            if max(abs(x - y) for x, y in zip(new, k)) < 1e-9:
+                break
+            k = new
+        return k
+
+    whole = em([q for own in seen.values() for q in own])
+    weights = {b: em(own) for b, own in seen.items()}
+    none_ = weights.get(0, whole)
+    weights[0] = [0, none_[1] / (none_[1] + none_[2]), none_[2] / (none_[1] + none_[2])]
     assert sum(map(len, got.values())) == len(data)
     for i, w in tokens:
         base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w)
         score = 0.0
         for a, b in zip(["<s>", *w[:-1]], w):
             f = starts if a == "<s>" else c[a]
-            k = weights[int(math.log2(f)) + 1 if f else 0]
+            k = weights.get(int(math.log2(f)) + 1 if f else 0, whole)
             score += math.log10(k[0] * (pairs[a, b] / f if f else 0) + k[1] * c[b] / n + k[2] / (v + 1))
-        assert any(g.n_tokens == len(w) and g.n_known == sum(c[x] > 0 for x in w) and g.train_tokens == n and g.held_out == (split(i) == 2) and math.isclose(g.base_score, base, rel_tol=1e-9) and math.isclose(g.score, score, rel_tol=1e-9) for g in got[i])
+        assert any(g.n_tokens == len(w) and g.n_known == sum(c[x] > 0 for x in w) and g.train_tokens == n and g.held_out == (split(i) == 2) and math.isclose(g.base_score, base, rel_tol=1e-9) and math.isclose(g.score, score, rel_tol=1e-5) for g in got[i])
     assert ngram.scored(none).count() == 0
-    few = {g.doc_id: g.score for g in ngram.scored(docs, contexts=3).collect() if g.doc_id not in (None, 2)}
-    assert len(few) == len({i for i, _ in tokens} - {None, 2}) and all(math.isfinite(x) for x in few.values())
+    for size, head in ((3, 1), (0, 0), (40, 5)):  # what is in the table changes nothing
+        few = ngram.scored(docs, table=size, head=head).collect()
+        assert sum(any(math.isclose(g.score, x.score, rel_tol=1e-9) and (g.n_tokens, g.n_known, g.held_out) == (x.n_tokens, x.n_known, x.held_out) for x in got[g.doc_id]) for g in few) == len(few) == len(data)
 
 
 def test_lm_learns_weights():
@@ -306,6 +351,9 @@ def test_lm_learns_weights():
     q2 = np.where(own, -BINS, 999)
     w = learn(pa.table({"b": np.full(20000, 5), "q2": q2, "q1": np.full(20000, 999), "n": np.ones(20000, int)}), 99)
     assert abs(w[5][0] - 0.8) < 0.03
+    # A bucket whose held-out words are all known leaves something to unknown words.
+    w = learn(pa.table({"b": np.full(50, 2), "q2": np.full(50, -1), "q1": np.full(50, -20), "n": np.full(50, 10**6)}), 10**6)
+    assert w.min() >= 0 and (w[:, 2] > 1e-9).all()
 
 
 def test_chunk_store(spark, docs, none, tmp_path):
@@ -336,6 +384,40 @@ def test_chunk_store(spark, docs, none, tmp_path):
     assert chunk_store.digests(spark, f"{tmp_path}/empty").count() == 0
 
 
+def test_chunk_store_notices_damage(spark, docs, tmp_path):
+    import os
+    import shutil
+
+    from quillon.llm import chunk_store
+
+    whole = f"{tmp_path}/whole"
+    chunk_store.write_store(docs, whole)
+    n = docs.count()
+
+    def rewritten(name, part, change):
+        """A copy of the store in which ``part`` has been read, changed and written again."""
+        path = f"{tmp_path}/{name}"
+        shutil.copytree(whole, path)
+        table = change(spark.read.parquet(f"{whole}/{part}"))
+        shutil.rmtree(f"{path}/{part}")
+        table.write.parquet(f"{path}/{part}")
+        return path
+
+    body = spark.read.parquet(f"{whole}/log/kind=0")
+    one = body.orderBy("body").first().body
+    lit = __import__("pyspark.sql.functions", fromlist=["lit"]).lit
+    expr = __import__("pyspark.sql.functions", fromlist=["expr"]).expr
+    gone = rewritten("gone", "log/kind=0", lambda t: t.where(t.body != lit(one)))
+    flipped = rewritten("flipped", "log/kind=0", lambda t: t.withColumn("payload", expr(f"CASE WHEN hex(body) = '{one.hex().upper()}' THEN concat(substr(payload, 2), substr(payload, 1, 1), payload) ELSE payload END")))
+    for path in (gone, flipped):
+        got = chunk_store.digests(spark, path).collect()
+        assert len(got) == n and any(not g.verified for g in got), path
+    for path in (rewritten("recipe", "recipes", lambda t: t.where("start > 0")), rewritten("manifest", "manifest", lambda t: t.withColumn("documents", expr("documents + 1")))):
+        with pytest.raises(ValueError, match="manifest"):
+            chunk_store.digests(spark, path)
+    assert os.path.isdir(whole) and all(g.verified for g in chunk_store.digests(spark, whole).collect())
+
+
 def test_crc_shift_and_chunks():
     from quillon.llm.chunk_store import MOST, cut_points, rolling, shifted
 
@@ -533,6 +615,133 @@ def test_dual_descent_separates():
     assert [np.sign(w[x] @ values[x] + bias) for x in f] == [1, 1, -1, -1]
 
 
+def test_quality_fit_is_the_plain_one(spark):
+    """Weights of a tiny table against support vectors solved in the primal by subgradients, and class ratios counted in plain Python."""
+    from quillon.llm import learned, quality
+
+    r = random.Random(3)
+    texts = ["".join(r.choice(["Aa ", "bb ", "CC ", "12 ", "!! "]) for _ in range(r.randint(2, 9))) for _ in range(24)]
+    y = [int("12" not in t) for t in texts]
+    keep = [i for i in range(24) if zlib.crc32(str(i).encode()) % 4 != 2]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame(list(enumerate(y)), "doc_id long, quality int")
+    rows_ = learned.labelled(d, lab, "quality", learned.shape_features)
+    table, n = learned.class_counts(rows_)
+    sets = {i: set(learned.shape_features(texts[i]).tolist()) for i in keep}
+    assert n.tolist() == [sum(y[i] == c for i in keep) for c in (0, 1)]
+    for f in set().union(*sets.values()):
+        assert table[:, f].tolist() == [sum(f in sets[i] and y[i] == c for i in keep) for c in (0, 1)]
+    ratio = np.log((table[1] + 1) / (n[1] + 2)) - np.log((table[0] + 1) / (n[0] + 2))
+    used = sorted(set().union(*sets.values()))
+    x = np.array([[ratio[f] * (f in sets[i]) for f in used] + [1.0] for i in keep])
+    sign = np.array([2 * y[i] - 1 for i in keep])
+    w, bias = quality.dual_descent([np.array(sorted(sets[i])) for i in keep], ratio, sign, np.full(len(keep), 0.1), epochs=3000)
+    own = np.append(w[used], bias)
+    loss = lambda v: v @ v / 2 + 0.1 * np.maximum(0, 1 - sign * (x @ v)).sum()
+    best, v = np.inf, np.zeros(len(used) + 1)
+    for k in range(1, 20001):
+        v = v - (v - 0.1 * ((sign * (sign * (x @ v) < 1)) @ x)) / k
+        best = min(best, loss(v))
+    assert abs(loss(own) - best) < 2e-3 * best  # descent stops when no step moves by 1e-4
+    one, two = (quality.fit(d.repartition(k), lab) for k in (1, 5))
+    assert np.array_equal(one.weight, two.weight) and one.slope == two.slope
+
+
+def test_toxicity_features_and_fit(spark):
+    """Fit and score see the same numbers, and the ordinal likelihood's gradient is zero at the fitted model."""
+    from quillon.llm import learned, toxicity
+
+    texts = ["bad bad bad word", "good day", "bad thing here", "nice nice words all day", "x" * 300 + " bad " * 20000, None, "good good", "bad worst worst bad"]
+    y = [1, 0, 1, 0, 1, 0, 0, 1]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, v) for i, v in enumerate(y)], "doc_id long, toxic int")
+    rows_ = learned.labelled(d, lab, "toxic", learned.word_features).collect()
+    for row in rows_:
+        f, n = np.unique(learned.word_features(texts[row.doc_id]), return_counts=True)
+        assert (row.f, row.n) == (f.tolist(), n.tolist())
+    rng = np.random.default_rng(2)
+    x, grade = rng.random((60, 3)), rng.integers(0, 4, 60)
+    w, cuts = toxicity._fit_ordinal(x, grade, np.ones(60), 4, rounds=5000)
+
+    def loss(t):
+        w, c = t[:3], t[3:]
+        low = np.concatenate(([np.inf * -1], c))[grade]
+        high = np.concatenate((c, [np.inf]))[grade]
+        p = 1 / (1 + np.exp(-(high - x @ w))) - 1 / (1 + np.exp(-(low - x @ w)))
+        return -np.log(p).mean() + 1e-3 / 2 * w @ w
+
+    at = np.concatenate((w, cuts))
+    slope = [(loss(at + e) - loss(at - e)) / 2e-5 for e in np.eye(6) * 1e-5]
+    assert np.abs(slope).max() < 1e-3 and (np.diff(cuts) > 0).all()
+    got = toxicity.scored(d, lab).collect()
+    assert len(got) == len(texts) and all(0 <= g.score <= 1 for g in got)
+
+
+def test_pipeline_rows_are_those_of_brute_force_stages(spark, tmp_path):
+    """Exact copies, near copies, the mix and ids of a small corpus, each stage done plainly."""
+    import sentencepiece
+
+    import corpus_pipeline as cp
+    from quillon.llm.piece_bpe import default_file
+    from quillon.llm.quality import scored
+
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(2, 6)))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(r.randint(30, 80))]
+        texts.append(" ".join(base))
+        if r.random() < 0.5:
+            texts.append(" ".join(base).upper())
+        if r.random() < 0.5:
+            texts.append(" ".join([*base[:-1], word()]))
+    docs_ = [(i, t, f"s{i % 3}") for i, t in enumerate(texts)]
+    spark.createDataFrame(docs_, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d, lab = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    good = {g.doc_id for g in scored(d, lab).collect() if g.score >= 0.7}
+    last = {}
+    for i, t, s in sorted(docs_):
+        if i in good:
+            last[norm(t)] = (i, t, s)
+    kept = sorted(last.values())
+    sets = [{tuple(norm(t).split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for _, t, _ in kept]
+    root = union(range(len(kept)), [(i, j) for i in range(len(kept)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])])
+    kept = [x for i, x in enumerate(kept) if i == min(j for j in root if root[j] == root[i])]
+    size = {i: len(t.split()) for i, t, _ in kept}
+    of = {s: sum(size[i] for i, _, u in kept if u == s) for s in sorted({s for _, _, s in kept})}
+    weight, full = {s: (5, 2, 1)[k % 3] for k, s in enumerate(of)}, set()
+    while True:
+        share = {s: weight[s] * (sum(of.values()) - sum(3 * of[u] for u in full)) / sum(weight[u] for u in of if u not in full) for s in of if s not in full}
+        if not (over := {s for s in share if share[s] > 3 * of[s]}):
+            break
+        full |= over
+    target = {s: 3 * of[s] if s in full else share[s] for s in of}
+    low, slots, whole = 0, Counter(), sum(round(x) for x in target.values())
+    step = int(0.6180339887498949 * 2**53)
+    spans = []
+    for s in of:
+        spans.append((low, low + round(target[s]), s))
+        low += round(target[s])
+    for j in range(1, sum(of.values()) + 1):
+        at = (j * step % 2**53) * whole // 2**53
+        slots[next(s for a, b, s in spans if a <= at < b)] += 1
+    want = Counter()
+    for s in of:
+        n, pos = min(slots[s], 3 * of[s]), 0
+        for i, _, _ in sorted((x for x in kept if x[2] == s), key=lambda x: hashlib.md5(str(x[0]).encode()).hexdigest()):
+            taken = n // of[s] * size[i] + max(0, min(n % of[s], pos + size[i]) - pos)
+            want[i] = math.floor(taken / size[i] + 0.5)
+            pos += size[i]
+    got = cp.run(spark, str(tmp_path)).collect()
+    assert Counter(g.doc_id for g in got) == +want
+    p = sentencepiece.SentencePieceProcessor(model_file=default_file())
+    text = dict((i, t) for i, t, _ in kept)
+    for g in got:
+        ids = p.encode(text[g.doc_id], add_eos=True)
+        assert g.n_tokens == len(ids) and g.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+
+
 def test_pipeline_is_its_operators(spark, docs, tmp_path):
     import corpus_pipeline as cp
 
