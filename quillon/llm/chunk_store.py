@@ -8,11 +8,12 @@ file and one over all.
 Layout, all Parquet: ``log/kind=0`` (body: address, payload: little-endian ids, of 16 bits where the vocabulary allows it), ``log/kind=1`` (recipes as tasks finish them),
 ``recipes/`` (part, doc_id, start, n_tokens, root, entries: 16 bytes of address and 4 of length each), ``manifest/`` (part, documents, root; part -1 is the whole store).
 
-Reading back: ``digests`` hashes every stored payload again and needs only thin rows to give each document's CRC-32, as CRCs of pieces can be shifted and added;
+Reading back: ``digests`` checks the recipes against the manifest (``check_manifest`` raises where they differ), hashes every stored payload again and needs only thin rows to give each document's CRC-32, as CRCs of pieces can be shifted and added;
 ``read_documents`` joins the payloads into whole id streams.
 
 Defined cases: a null text counts as empty and has the end id only; rows that repeat are stored as documents of their own, of the same chunks; a null doc_id comes first;
-an empty table makes an empty store; other columns are ignored.
+an empty table makes an empty store; other columns are ignored. A payload that is missing or damaged leaves its documents in ``digests`` with ``verified`` false, and makes the
+query fail; a missing or changed recipe makes both fail.
 """
 
 from __future__ import annotations
@@ -160,13 +161,26 @@ def _write_recipes(spark: SparkSession, path: str) -> None:
     ordered = running(recipes, [F.col("doc_id").asc_nulls_first(), F.col("root")], "n_tokens", "start")
     ordered.select(F.spark_partition_id().alias("part"), "doc_id", "start", "n_tokens", "root", "entries").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
+    spark.createDataFrame(_manifest(spark, path), "part int, documents long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> list[tuple[int, int, bytes]]:
+    """What the recipes say: (part, documents, root) of each recipe file, and of the whole store as part -1."""
+
     def roots(key, part):
         part = part.sort_by("start")
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "documents": pa.array([part.num_rows], pa.int64()), "root": [merkle(part["root"].to_pylist())]})
 
     files = spark.read.parquet(f"{path}/recipes").select("part", "start", "root").groupBy("part").applyInArrow(roots, "part int, documents long, root binary").toArrow().sort_by("part")
     whole = (-1, sum(files["documents"].to_pylist()), merkle(files["root"].to_pylist()))  # one row for each recipe file
-    spark.createDataFrame([*zip(*(files[c].to_pylist() for c in files.column_names)), whole], "part int, documents long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    return [*zip(*(files[c].to_pylist() for c in files.column_names)), whole]
+
+
+def check_manifest(spark: SparkSession, path: str) -> None:
+    """Raises unless every recipe file and the whole store have the documents and roots that the manifest names."""
+    told = sorted((r.part, r.documents, bytes(r.root)) for r in spark.read.parquet(f"{path}/manifest").collect())  # one row for each recipe file
+    if told != sorted((p, n, bytes(r)) for p, n, r in _manifest(spark, path)):
+        raise ValueError(f"the recipes of {path} are not those of its manifest")
 
 
 def _kind(tokenizer: str | None) -> np.dtype:
@@ -257,11 +271,14 @@ def digests(spark: SparkSession, path: str, tokenizer: str | None = None) -> Dat
             good = [len(x) == c and r == s and merkle(x) == t for x, c, r, s, t in zip(leaves, count.to_pylist(), read.to_pylist(), size.tolist(), root.to_pylist())]
             yield pa.RecordBatch.from_arrays([doc, start, n, pa.array(whole.astype(np.int64)), count, pa.array(good, pa.bool_())], names=["doc_id", "start", "n_tokens", "ids_crc32", "chunks", "verified"])
 
+    check_manifest(spark, path)
     chunks = _log(spark, path, 0).select("body", "payload").mapInArrow(hashed, "body binary, crc long, size long, good boolean")
-    met = _uses(spark, path).join(cut(chunks), "body").select("start", "crc", "after", F.col("size").alias("n"), (F.col("good") & (F.col("size") == F.col("n"))).alias("good"))
+    good = F.coalesce(F.col("good") & (F.col("size") == F.col("n")), F.lit(False))  # a chunk that is gone makes its documents unverified, not absent
+    met = _uses(spark, path).join(cut(chunks), "body", "left").select("start", F.coalesce("crc", F.lit(0)).alias("crc"), "after", F.coalesce("size", F.lit(0)).alias("n"), good.alias("good"))
     of = met.mapInArrow(moved, "start long, crc long, n long, good boolean").groupBy("start").agg(F.bit_xor("crc").alias("crc"), F.sum("n").alias("read"), F.count_if("good").alias("count"))
     recipes = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", "n_tokens", "root", "entries")
-    joined = recipes.join(of, "start").select("doc_id", "start", "n_tokens", "root", "entries", "crc", "read", "count")
+    seen = [F.coalesce(c, F.lit(0)).alias(c) for c in ("crc", "read", "count")]
+    joined = recipes.join(of, "start", "left").select("doc_id", "start", "n_tokens", "root", "entries", *seen)
     return joined.mapInArrow(checked, "doc_id long, start long, n_tokens long, ids_crc32 long, chunks long, verified boolean")
 
 
@@ -281,7 +298,9 @@ def read_documents(spark: SparkSession, path: str, tokenizer: str | None = None)
 def op2_chunk_store(spark, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "store")
     write_store(documents(spark, sf_dir), path)
-    return digests(spark, path)
+    found = digests(spark, path)
+    broken = F.raise_error(F.concat(F.lit("not verified: the document that starts at id "), F.col("start").cast("string"))).cast("boolean")
+    return found.withColumn("verified", F.when(F.col("verified"), F.lit(True)).otherwise(broken))
 
 
 SQL: dict[str, str] = {}
