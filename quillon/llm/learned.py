@@ -1,6 +1,8 @@
 """What the learned scorers share: sparse text features, the labelled table, class counts over all of it and bounded samples.
 
 Labels are joined by doc_id. Rows with a null doc_id or label are left out; where rows disagree on a doc_id the mean decides, 0.5 and more counting as 1.
+A null text counts as empty (one indicator of its own in ``shape_features``, no words in ``word_features``); very long texts are read whole; of rows that repeat a doc_id each is a row
+of its own, and the bounded sample orders them by a hash of the text; empty tables give empty counts and samples.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ FEATURES = 1 << 18
 #: Words that a worker remembers before it starts anew.
 CACHED = 150_000
 #: Up to so many labels are broadcast; beyond, features are joined to them by a shuffle.
-BROADCAST_ROWS = 1 << 20
+BROADCAST_ROWS = 1 << 18
 #: Labelled rows of each class that a model is fitted on at most; class counts cover all rows.
 SAMPLED = 4000
 _LETTERS, _DIGITS, _SAME = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+")
@@ -89,19 +91,21 @@ def word_features(text: str | None) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, features: Callable[[str | None], np.ndarray], train_rest: int = 2, modulus: int = 4) -> DataFrame:
-    """doc_id, y, f (distinct features): the documents with a label whose crc32(doc_id as text) mod ``modulus`` is not ``train_rest``."""
+    """doc_id, y, h (a hash of the text), f (distinct features), n (how often each stands in the text): the documents with a label whose crc32(doc_id as text) mod ``modulus`` is not ``train_rest``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(features(x)) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(found, pa.list_(pa.int32()))], names=["doc_id", *b.schema.names[2:], "f"])
+            found = [np.unique(features(x), return_counts=True) for x in b.column(1).to_pylist()]
+            cols = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names=["doc_id", *b.schema.names[2:], "f", "n"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id")) % modulus != train_rest)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     y = cut(y)
+    h = F.xxhash64("text").alias("h")
     if y.count() <= BROADCAST_ROWS:  # 16 bytes each: texts stay where they are and only labelled ones are read into features
-        return cut(rows.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, f array<int>"))
-    return cut(rows.mapInArrow(run, "doc_id long, f array<int>").join(y, "doc_id").select("doc_id", "y", "f"))  # features are thinner than texts
+        return cut(rows.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y", h).mapInArrow(run, "doc_id long, y int, h long, f array<int>, n array<int>"))
+    return cut(rows.select("doc_id", "text", h).mapInArrow(run, "doc_id long, h long, f array<int>, n array<int>").join(y, "doc_id").select("doc_id", "y", "h", "f", "n"))  # features are thinner than texts
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -127,8 +131,8 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return table, counts[:, i == -1].sum(axis=1)
 
 
-def sample(rows: DataFrame, n: np.ndarray, each: int = SAMPLED) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most ``each`` rows of each class, the first by a hash of the id. n: rows of each class.
+def sample(rows: DataFrame, n: np.ndarray, each: int = SAMPLED) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Features, their counts and labels of at most ``each`` rows of each class, the first by a hash of the id, then the id, then the text. n: rows of each class.
 
     Only rows with hashes low enough for about twice as many are sorted, so what meets in one task doesn't grow with the table.
     """
@@ -137,9 +141,9 @@ def sample(rows: DataFrame, n: np.ndarray, each: int = SAMPLED) -> tuple[list[np
     for c in (0, 1):
         own = rows.where(F.col("y") == c)
         low = own.where(place <= min(int(2 * each / max(int(n[c]), 1) * 2.0**63), 2**63 - 1))
-        part = low.orderBy(place, "doc_id").limit(each).select("y", "f").toArrow()
+        part = low.orderBy(place, "doc_id", "h").limit(each).select("y", "f", "n").toArrow()
         if part.num_rows < min(each, int(n[c])):  # chance left too few
-            part = own.orderBy(place, "doc_id").limit(each).select("y", "f").toArrow()
+            part = own.orderBy(place, "doc_id", "h").limit(each).select("y", "f", "n").toArrow()
         found.append(part)
-    f = [np.asarray(x, np.int64) for t in found for x in t["f"].to_pylist()]
-    return f, np.concatenate([t["y"].to_numpy() for t in found]).astype(np.int64)
+    f, many = ([np.asarray(x, np.int64) for t in found for x in t[c].to_pylist()] for c in ("f", "n"))
+    return f, many, np.concatenate([t["y"].to_numpy() for t in found]).astype(np.int64)

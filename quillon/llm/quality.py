@@ -81,7 +81,7 @@ def fit(docs: DataFrame, label_rows: DataFrame, smooth: float = 1.0, cost: float
     if not n[0] or not n[1]:
         return Model(np.zeros(FEATURES), 0.0, 0.0, -40.0 if n[0] else 40.0)
     ratio = np.log((table[1] + smooth) / (n[1] + 2 * smooth)) - np.log((table[0] + smooth) / (n[0] + 2 * smooth))
-    f, y = sample(rows, n, each)
+    f, _, y = sample(rows, n, each)
     sign = 2 * y - 1
     check = np.arange(len(f)) % 5 == 4
     if min((check & (y == 0)).sum(), (check & (y == 1)).sum()) < 5:

@@ -1,9 +1,9 @@
 """Toxicity: cumulative-link ordinal regression on sparse word features.
 
-Labels say toxic or not. Grades order the labelled documents by severity: 0 for those that are not toxic, and for the toxic ones 1 to ``len(STEPS)`` by how many of
-their words are marked, where a word is marked if it stands in toxic documents far more often than in others (class counts over all labelled training rows). The model is
+Labels say toxic or not. Grades order the labelled documents by severity: 0 for those that are not toxic, and for the toxic ones 1 to ``len(STEPS)`` by how many different
+words of theirs are marked, where a word is marked if it stands in toxic documents far more often than in others (class counts over all labelled training rows). The model is
 P(grade <= k) = logistic(cut_k - w . x): one weight vector for all ordered cuts, fitted by accelerated gradient descent on at most ``SAMPLED`` rows of each class.
-x is log(1 + count) of the ``WORDS`` words that tell the classes apart best. A document's result is the distribution over grades, and the expected severity.
+In fit and score alike, x is log(1 + count) of the ``WORDS`` words that tell the classes apart best. A document's result is the distribution over grades, and the expected severity.
 
 Defined cases: a null text counts as empty; every row gets a result, rows that repeat a doc_id each their own; a null doc_id is scored and never learned from;
 without labels of both kinds every score is the share of toxic labels (0 without labels); an empty table gives an empty result; other columns are ignored.
@@ -110,12 +110,12 @@ def fit(docs: DataFrame, label_rows: DataFrame, words: int = WORDS, each: int =
     column = none.copy()
     column[best] = np.arange(len(best))
     marked = (z >= MARKED) & (ratio >= FAR_MORE)
-    f, y = sample(rows, n, each)
+    f, many, y = sample(rows, n, each)
     x = np.zeros((len(f), len(best)))
     grade = np.zeros(len(f), np.int64)
     for i, found in enumerate(f):
         j = column[found]
-        x[i, j[j >= 0]] = np.log1p(1)
+        x[i, j[j >= 0]] = np.log1p(many[i][j >= 0])
         if y[i]:
             grade[i] = sum(marked[found].sum() >= s for s in STEPS)
     share = np.array([max(1, (y == c).sum()) for c in (0, 1)])
