@@ -682,7 +682,7 @@ def test_pipeline_rows_are_those_of_brute_force_stages(spark, tmp_path):
     import sentencepiece
 
     import corpus_pipeline as cp
-    from quillon.llm.piece_bpe import default_file
+    from quillon.llm.piece_bpe import default_model as default_file
     from quillon.llm.quality import scored
 
     r = random.Random(12)
