@@ -100,19 +100,96 @@ def equal_bins(rank: Column, n: Column, k: int) -> Column:
     return F.greatest(F.floor((((rank - 1) * k + n - 2) / F.greatest(n - 1, F.lit(1)))).cast("long") - 1, F.lit(0).cast("long"))
 
 
-def ewm(df: DataFrame, by: list[str], order: list[str], value: str, out: str, least: int, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> DataFrame:
-    """Recursive exponential mean: every row ages the weight, an observed row renews it; NULL until ``least`` values are there.
+def ewms(df: DataFrame, by: list[str], order: list[str], means: dict[str, tuple]) -> DataFrame:
+    """Recursive exponential means: every row ages the weight, an observed row renews it; NULL until enough values are there.
 
-    The recursion is sequential in a key, so this is a grouped map by key. A very long series is given finer keys, or a warm start, by the caller.
+    means: out -> (value, least, and one of span, halflife, alpha as a dict). ``by`` and ``order`` together are unique. The recursion is sequential in a key, so this is a grouped map by key;
+    only key, order and values travel to it, once for all means, and what it gives is joined to the other columns. A very long series is given finer keys, or a warm start, by the caller.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+    values = sorted({v for v, _, _ in means.values()})
+    schema = T.StructType([*[df.schema[c] for c in (*by, *order)], *[T.StructField(n, T.DoubleType()) for n in means]])
 
     def run(pdf):
         pdf = pdf.sort_values(order, kind="stable")
-        pdf[out] = pdf[value].astype(float).ewm(span=span, halflife=halflife, alpha=alpha, adjust=False, min_periods=least).mean()
-        return pdf
+        for out, (value, least, decay) in means.items():
+            pdf[out] = pdf[value].astype(float).ewm(**decay, adjust=False, min_periods=least).mean()
+        return pdf[[*by, *order, *means]]
+
+    found = df.select(*by, *order, *[v for v in values if v not in (*by, *order)]).groupBy(*by).applyInPandas(run, schema)
+    return df.join(found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in means}), [*by, *order], "left")
+
 
-    return df.groupBy(*by).applyInPandas(run, schema).withColumn(out, F.when(~F.isnan(out), F.col(out)))
+def ewm(df: DataFrame, by: list[str], order: list[str], value: str, out: str, least: int, span: float | None = None, halflife: float | None = None, alpha: float | None = None) -> DataFrame:
+    """One mean of ``ewms``."""
+    return ewms(df, by, order, {out: (value, least, {k: v for k, v in (("span", span), ("halflife", halflife), ("alpha", alpha)) if v is not None})})
+
+
+class Ordered:
+    """A growing multiset of numbers with exact quantiles: sorted blocks that are split when they get long, so an insertion moves a block's numbers and not all of them."""
+
+    LONG = 2048
+
+    def __init__(self):
+        self.blocks, self.tops, self.n = [], [], 0
+
+    def add(self, x: float) -> None:
+        from bisect import bisect_left, insort
+
+        if not self.blocks:
+            self.blocks, self.tops = [[x]], [x]
+        else:
+            i = min(bisect_left(self.tops, x), len(self.tops) - 1)
+            block = self.blocks[i]
+            insort(block, x)
+            self.tops[i] = block[-1]
+            if len(block) > self.LONG:
+                half = len(block) // 2
+                self.blocks[i : i + 1] = [block[:half], block[half:]]
+                self.tops[i : i + 1] = [block[half - 1], block[-1]]
+        self.n += 1
+
+    def at(self, k: int) -> float:
+        for block in self.blocks:
+            if k < len(block):
+                return block[k]
+            k -= len(block)
+        raise IndexError(k)
+
+    def quantile(self, q: float) -> float:
+        """Linear between the neighbours, as percentile() has it."""
+        place = q * (self.n - 1)
+        low = int(place)
+        a = self.at(low)
+        return a if place == low else a + (place - low) * (self.at(low + 1) - a)
+
+
+def expanding_quantiles(df: DataFrame, by: list[str], order: list[str], value: str, quantiles: dict[str, float], least: int) -> DataFrame:
+    """df and, for each out -> q, the exact quantile of all earlier rows' values of the key; NULL until ``least`` of them are there.
+
+    ``by`` and ``order`` together are unique. A window would sort each row's whole history again; here a key's rows pass once through one growing sorted list (key, order and value only), which takes
+    n log n steps and the memory of one key's values.
+    """
+    schema = T.StructType([*[df.schema[c] for c in (*by, *order)], *[T.StructField(n, T.DoubleType()) for n in quantiles]])
+
+    def run(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values(order, kind="stable")
+        x, seen = pdf[value].to_numpy(float), Ordered()
+        found = np.full((len(quantiles), len(x)), np.nan)
+        for i, v in enumerate(x):
+            if seen.n >= least and seen.n:
+                for j, q in enumerate(quantiles.values()):
+                    found[j, i] = seen.quantile(q)
+            if v == v:
+                seen.add(v)
+        out = pdf[[*by, *order]].copy()
+        for n, values in zip(quantiles, found):
+            out[n] = values
+        return out
+
+    found = df.select(*by, *order, value).groupBy(*by).applyInPandas(run, schema)
+    return df.join(found.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in quantiles}), [*by, *order], "left")
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

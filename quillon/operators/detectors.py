@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip, log, safe_div, true
-from quillon.functions.windows import Bars
+from quillon.functions.windows import Bars, expanding_quantiles
 
 
 @dataclass(frozen=True)
@@ -93,7 +93,7 @@ def lazy_pullback(bars: DataFrame, p: dict) -> DataFrame:
     return x.withColumns({"direction": F.when(on, F.col("trend_direction")).otherwise(0), "magnitude": F.when(on, size)})
 
 
-@_register("D04", 24, {"v_lo": 0.8, "persist": 6, "lookback": 24, "range_window": 120, "range_least": 40, "range_pct": 0.25, "alpha": 0.3}, {"v_lo": [0.7, 0.8, 0.9], "range_pct": [0.2, 0.25, 0.3]}, ("sigma_hat", "vol_ratio"))
+@_register("D04", 24, {"v_lo": 0.8, "persist": 6, "lookback": 24, "range_window": 120, "range_least": 40, "range_pct": 0.25, "alpha": 0.3}, {"v_lo": [0.7, 0.8, 0.9], "lookback": [12, 24, 48], "range_pct": [0.2, 0.25, 0.3]}, ("sigma_hat", "vol_ratio"))
 def compression_break(bars: DataFrame, p: dict) -> DataFrame:
     """A close beyond the range after steadily low volatility and a narrow range."""
     w = Bars("root", "timestamp")
@@ -128,7 +128,7 @@ def open_repricing(bars: DataFrame, p: dict) -> DataFrame:
 def leader_residual(bars: DataFrame, p: dict) -> DataFrame:
     """The follower's move beyond its lagged expanding beta to the leader's: against it, in the lagged expanding tails.
 
-    Expanding quantiles are exact, over one instrument's history.
+    Expanding quantiles are exact, over one instrument's history, by a growing sorted list.
     """
     w, n, k = Bars("root", "timestamp"), p["min_bars"], p["k"]
     x = bars.where(F.col("root") == p["follower"]).withColumns({"own": w.sum(safe_div(F.col("ret"), F.col("sigma_hat")), k), "es": w.sum(F.col("es_ret_z"), k)})
@@ -137,7 +137,7 @@ def leader_residual(bars: DataFrame, p: dict) -> DataFrame:
     cov = F.when(F.count(both).over(past) >= n, F.covar_samp("own", "es").over(past))
     x = x.withColumn("residual", F.col("own") - safe_div(cov, w.expanding(F.var_samp, F.col("es"), n, back=1)) * F.col("es"))
     r = F.col("residual")
-    x = x.withColumns({"q_lo": w.expanding(lambda v: F.percentile(v, p["tail_q"]), r, n, back=1), "q_hi": w.expanding(lambda v: F.percentile(v, 1 - p["tail_q"]), r, n, back=1)})
+    x = expanding_quantiles(x, ["root"], ["timestamp"], "residual", {"q_lo": p["tail_q"], "q_hi": 1 - p["tail_q"]}, n)
     on = true((r < F.col("q_lo")) | (r > F.col("q_hi")))
     found = x.select("root", "timestamp", F.when(on, -F.signum(r)).otherwise(0).alias("direction"), F.when(on, safe_div(F.abs(r), (F.col("q_hi") - F.col("q_lo")) / 2) - 1).alias("magnitude"))
     return bars.select("root", "timestamp").join(found, ["root", "timestamp"], "left")

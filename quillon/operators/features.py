@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip, indicator, log, safe_div
-from quillon.functions.windows import Bars, ewm
+from quillon.functions.windows import Bars, ewms
 
 # The names of the features, by group, and the windows by bar length.
 GROUPS = {
@@ -55,8 +55,7 @@ def build_features(bars: DataFrame, windows: tuple[int, int, int] = WINDOWS["1h"
         "rv_before": w.lag(c("rv_fast"), fast), "rv_mean": w.mean(c("rv_fast"), slow), "flip_med": w.mean(c("flip"), med), "corr_rv": w.corr(r, c("rr"), med), "acf": w.corr(r, c("before_ret"), med),
     })
     if with_ema:
-        for name, span in (("ema_fast", fast), ("ema_med", med), ("ema_slow", slow)):
-            d = ewm(d, ["root"], ["timestamp"], "close", name, span, span=span)
+        d = ewms(d, ["root"], ["timestamp"], {name: ("close", span, {"span": span}) for name, span in (("ema_fast", fast), ("ema_med", med), ("ema_slow", slow))})
     else:
         d = d.withColumns({x: F.lit(None).cast("double") for x in ("ema_fast", "ema_med", "ema_slow")})
     small = c("rv_slow") * (fast / slow) * 0.01 + 1e-12

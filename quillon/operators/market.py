@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import add_business_days, clip, log, logistic, safe_div, true
-from quillon.functions.windows import Bars, ewm
+from quillon.functions.windows import Bars, ewm, ewms, expanding_quantiles
 
 
 def add_calendar(df: DataFrame, zones: DataFrame, phases: list[tuple[str, int, int]], default: str = "OUTSIDE_SESSION", opens: int = 18 * 60) -> DataFrame:
@@ -139,12 +139,12 @@ def add_context(df: DataFrame, ticks: DataFrame, q: int = 5, fast: int = 12, slo
     w, z = Bars("root", "timestamp"), F.col("z")
     sessions = session_percentile(df.groupBy("root", "session_id").agg(F.min_by("sigma_day", "timestamp").alias("sigma_day")), "sigma_day").select("root", "session_id", "sigma_pct")
     x = df.join(sessions, ["root", "session_id"], "left").withColumn("z", safe_div(F.col("ret"), F.col("sigma_hat"))).withColumn("zz", z * z)
-    x = ewm(ewm(x, ["root"], ["timestamp"], "zz", "q_fast", fast, halflife=fast), ["root"], ["timestamp"], "zz", "q_slow", min(24, slow), halflife=slow)
+    x = ewms(x, ["root"], ["timestamp"], {"q_fast": ("zz", fast, {"halflife": fast}), "q_slow": ("zz", min(24, slow), {"halflife": slow})})
     x = x.withColumns({"er_20": efficiency_ratio(w, F.col("ret"), 20), "er_60": efficiency_ratio(w, F.col("ret"), 60), "q_sum": w.sum(z, q), "lv": F.log1p("volume")})
-    p = Bars(["root", "session_phase"], "timestamp")
-    median = lambda v: F.percentile(v, 0.5)
-    x = x.withColumns({"vr_5": safe_div(w.var(F.col("q_sum"), vr_window), q * w.var(z, vr_window)), "q_med": p.expanding(median, F.col("lv"), least_liquidity, back=1)}).withColumn("q_dev", F.abs(F.col("lv") - F.col("q_med")))
-    x = x.withColumn("q_mad", p.expanding(median, F.col("q_dev"), least_liquidity, back=1)).withColumn("liq_z", clip(safe_div(F.col("lv") - F.col("q_med"), 1.4826 * F.col("q_mad")), -8.0, 8.0))
+    x = x.withColumns({"vr_5": safe_div(w.var(F.col("q_sum"), vr_window), q * w.var(z, vr_window))})
+    key = (["root", "session_phase"], ["timestamp"])
+    x = expanding_quantiles(x, *key, "lv", {"q_med": 0.5}, least_liquidity).withColumn("q_dev", F.abs(F.col("lv") - F.col("q_med")))
+    x = expanding_quantiles(x, *key, "q_dev", {"q_mad": 0.5}, least_liquidity).withColumn("liq_z", clip(safe_div(F.col("lv") - F.col("q_med"), 1.4826 * F.col("q_mad")), -8.0, 8.0))
     x = x.join(causal_chl_spread(df, ticks, spread_pairs), ["root", "timestamp"]).join(ticks.select("root", "tick_bp"), "root")
     thin = F.coalesce(F.greatest(-F.col("liq_z"), F.lit(0.0)), F.lit(0.0))
     day = F.col("session_id")

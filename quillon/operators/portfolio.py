@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip, log, safe_div, true
-from quillon.functions.windows import Bars
+from quillon.functions.windows import Bars, expanding_quantiles
 from quillon.operators.stats import beside
 
 
@@ -53,16 +53,42 @@ def complete_linkage(names: list[str], rho: dict[tuple[str, str], float], thresh
     return {n: k for k, g in enumerate(sorted(groups, key=lambda g: min(map(names.index, g))), 1) for n in g}
 
 
-def fuse(votes: DataFrame, bars: DataFrame, clusters: dict[str, int], tau: float = 0.5) -> DataFrame:
-    """mu = sum of numerators / (sum of weights + tau), with the detectors of a cluster averaged first."""
-    size: dict[int, int] = {}
-    for c in clusters.values():
-        size[c] = size.get(c, 0) + 1
-    look = F.create_map(*[x for n, c in clusters.items() for x in (F.lit(n), F.lit(c))])
-    sizes = F.create_map(*[x for c, n in size.items() for x in (F.lit(c), F.lit(float(n)))])
-    v = votes.withColumn("c", look[F.col("detector")]).groupBy("root", "timestamp", "c").agg(F.sum("num").alias("num"), F.sum("den").alias("den"), F.sum("mass").alias("mass"))
-    n = sizes[F.col("c")]
-    total = v.groupBy("root", "timestamp").agg(F.sum(F.col("num") / n).alias("num"), F.sum(F.col("den") / n).alias("den"), F.sum(F.col("mass") / n).alias("mass"), F.count("*").cast("int").alias("active_clusters"))
+def causal_clusters(signals: DataFrame, least: int = 25, threshold: float = 0.6) -> DataFrame:
+    """day, detector, cluster, size: complete-linkage clusters of each day by the joint triggers of the days before, for every day that has signals.
+
+    Joint triggers are summed by day and pair, the sums run on over days (a row for each day and pair of a few detectors), and each day's few pairs are clustered by themselves.
+    """
+    on = signals.where("direction <> 0").select("root", "timestamp", "detector", F.col("direction").cast("double").alias("d"))
+    a, b = on.alias("a"), on.alias("b")
+    joint = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("a.timestamp") == F.col("b.timestamp")) & (F.col("a.detector") < F.col("b.detector")))
+    x, y = F.col("a.d"), F.col("b.d")
+    sums = {"n": F.count("*"), "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "syy": F.sum(y * y), "sxy": F.sum(x * y)}
+    each = joint.groupBy(F.to_date("a.timestamp").alias("day"), F.col("a.detector").alias("left"), F.col("b.detector").alias("right")).agg(*[v.alias(k) for k, v in sums.items()])
+    days, names = signals.select(F.to_date("timestamp").alias("day")).distinct(), signals.select("detector").distinct()
+    pairs = names.select(F.col("detector").alias("left")).join(names.select(F.col("detector").alias("right")), F.col("left") <= F.col("right"))
+    past = W.partitionBy("left", "right").orderBy("day").rowsBetween(W.unboundedPreceding, -1)
+    table = pairs.join(days, F.lit(True))  # a row for each day and pair of a few detectors
+    table = table.join(each, ["day", "left", "right"], "left").select("day", "left", "right", *[F.coalesce(F.sum(c).over(past), F.lit(0.0)).alias(c) for c in sums])
+    c = F.col
+    rho = (c("n") * c("sxy") - c("sx") * c("sy")) / F.sqrt((c("n") * c("sxx") - c("sx") * c("sx")) * (c("n") * c("syy") - c("sy") * c("sy")))
+    free = (c("n") * c("sxx") > c("sx") * c("sx")) & (c("n") * c("syy") > c("sy") * c("sy"))
+    table = table.select("day", "left", "right", F.when((c("n") >= least) & free, rho).otherwise(0.0).alias("rho"))
+
+    def cluster(pdf):
+        import pandas as pd
+
+        found = complete_linkage(sorted(set(pdf["left"]) | set(pdf["right"])), dict(zip(zip(pdf["left"], pdf["right"]), pdf["rho"])), threshold)
+        size = pd.Series(found).value_counts()
+        return pd.DataFrame([(pdf["day"].iloc[0], n, k, int(size[k])) for n, k in found.items()], columns=["day", "detector", "cluster", "size"])
+
+    return table.groupBy("day").applyInPandas(cluster, "day date, detector string, cluster int, size int")
+
+
+def fuse(votes: DataFrame, bars: DataFrame, clusters: DataFrame, tau: float = 0.5) -> DataFrame:
+    """mu = sum of numerators / (sum of weights + tau), with the detectors of a day's cluster averaged first. clusters: what ``causal_clusters`` gives."""
+    v = votes.withColumn("day", F.to_date("timestamp")).join(clusters, ["day", "detector"])
+    v = v.groupBy("root", "timestamp", "cluster").agg(*[(F.sum(c) / F.first("size")).alias(c) for c in ("num", "den", "mass")])
+    total = v.groupBy("root", "timestamp").agg(*[F.sum(c).alias(c) for c in ("num", "den", "mass")], F.count("*").cast("int").alias("active_clusters"))
     x = bars.select("root", "timestamp").join(total, ["root", "timestamp"], "left")
     z = lambda c: F.coalesce(c, F.lit(0.0))
     return x.select("root", "timestamp", (z("num") / (z("den") + tau)).alias("mu"), F.coalesce(safe_div(F.col("mass"), F.col("den")), F.lit(1.0)).alias("active_horizon"), z("den").alias("confidence_mass"), F.coalesce("active_clusters", F.lit(0)).alias("active_clusters"))
@@ -72,11 +98,12 @@ def size_targets(
     df: DataFrame, bars_a_year: float, vol: float = 0.10, eta: float = 0.25, most: float = 2.0, bet_share: float = 0.25, sigma_breaker: float = 0.99, spread_breaker: float = 0.95, least: int = 100, brake: float = 0.3, zeta: float = 0.05
 ) -> DataFrame:
     """target, band and breaker from mu and the state: volatility target, bet cap, breakers by volatility and lagged expanding spread quantile, cost band."""
-    w, sigma, h = Bars("root", "timestamp"), F.col("sigma_hat"), F.greatest("active_horizon", F.lit(1.0))
+    sigma, h = F.col("sigma_hat"), F.greatest("active_horizon", F.lit(1.0))
     annual = sigma * bars_a_year**0.5
     raw = clip(F.when(annual > 0, vol / annual).otherwise(0.0) * F.tanh(F.col("mu") / eta), -most, most)
     cap = bet_share * vol / 252**0.5 / F.greatest(sigma * F.sqrt(h), F.lit(1e-12))
-    x = df.withColumns({"q_raw": F.when(raw.isNotNull(), F.greatest(F.least(raw, cap), -cap)), "q_limit": w.expanding(lambda v: F.percentile(v, spread_breaker), F.col("spread_bp"), least, back=1), "sigma_ann": annual})
+    x = df.withColumns({"q_raw": F.when(raw.isNotNull(), F.greatest(F.least(raw, cap), -cap)), "sigma_ann": annual})
+    x = expanding_quantiles(x, ["root"], ["timestamp"], "spread_bp", {"q_limit": spread_breaker}, least)
     breaker = true(F.col("sigma_pct") > sigma_breaker) | true(F.col("spread_bp") > F.col("q_limit"))
     band = F.least(zeta * F.sqrt(F.greatest("spread_bp", F.lit(0.0)) * 1e-4 / F.greatest(F.pow(sigma, F.lit(2)) * h, F.lit(1e-12))), F.lit(most))
     return x.withColumns({"breaker": breaker, "target": F.col("q_raw") * F.when(breaker, brake).otherwise(1.0), "band": band}).drop("q_raw", "q_limit")

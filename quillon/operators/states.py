@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.scalars import digitize, safe_div
+from quillon.sources.lineage import cut
 
 
 def centres_of(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -159,9 +160,8 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
     edges: a, b in one direction. ``rounds`` synchronous rounds (the most frequent label around a node, the smallest on a tie) come first. They may swing for ever, so
     afterwards a node moves only to a strictly more frequent label, and a hash of node and turn lets one half of the nodes move at a time. After ``TURNS`` such turns, of neighbours that want to move
-    only the first by the hash does: each move then makes more edges join equal labels, so the turns end. The state is one label a node; lineage is cut each round, in the caller's checkpoint directory where one is set.
+    only the first by the hash does: each move then makes more edges join equal labels, so the turns end. The state is one label a node; lineage is cut each round.
     """
-    cut = (lambda df: df.checkpoint()) if edges.sparkSession.sparkContext.getCheckpointDir() is not None else (lambda df: df.localCheckpoint())
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = cut(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     best = F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("x")

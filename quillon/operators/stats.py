@@ -146,46 +146,41 @@ def root_hierarchy(df: DataFrame, outcome: str) -> DataFrame:
 def causal_posterior(df: DataFrame, cell: list[str], outcome: str = "outcome", available: str = "outcome_available_time") -> DataFrame:
     """Each trigger's cell mean, shrunk by what was known at its time: posterior_mean, confidence, prior_cell_n.
 
-    Every trigger needs the spread of all cells' running means, so the walk over time is one ordered state of a few hundred cells, not a window. It is given per instrument
-    (``by``) or for one series; triggers are sparse. An outcome that is available no later than its own trigger is used up without effect.
+    df: event_id, timestamp, the cell's columns, the outcome and when it was there. An outcome that was there no later than its own trigger is never used. Shrinkage needs the spread of all cells' running means; an arriving outcome
+    changes one cell's mean, so it changes the number of cells with two outcomes and more, their sum of means and of squared means, and their sum of 1 / n by differences that the cell alone knows. These are summed up
+    by days first and inside each day, so no task sees more than one cell's outcomes or one day's events.
     """
-    import math
-
-    schema = df.select("event_id", "timestamp").schema.simpleString()[7:-1].replace(":", " ") + ", posterior_mean double, confidence double, prior_cell_n int"
-
-    def walk(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["timestamp", "event_id"], kind="stable").reset_index(drop=True)
-        keys = list(map(tuple, pdf[cell].to_numpy()))
-        known = pdf[pdf[outcome].notna() & pdf[available].notna()].sort_values([available, "timestamp", "event_id"], kind="stable")
-        todo, at = list(zip(known[available], known["timestamp"], known[outcome], known.index)), 0
-        cells: dict[tuple, list] = {}
-        n = total = square = 0.0
-        out = []
-        for now, key in zip(pdf["timestamp"], keys):
-            while at < len(todo) and todo[at][0] <= now:
-                _, when, value, i = todo[at]
-                at += 1
-                if when < now:
-                    state = cells.setdefault(keys[i], [0, 0.0])
-                    state[0], state[1] = state[0] + 1, state[1] + value
-                    n, total, square = n + 1, total + value, square + value * value
-            if not n:
-                out.append((math.nan, 0.0, 0))
-                continue
-            mean = total / n
-            sigma2 = max((square - total * total / n) / (n - 1), 1e-12) if n > 1 else 1.0
-            many = np.array([c for c in cells.values() if c[0] >= 2], float)
-            tau2 = max(float(np.var(many[:, 1] / many[:, 0], ddof=1) - np.mean(sigma2 / many[:, 0])), 0.0) if len(many) > 1 else 0.0
-            k, s = cells.get(key, (0, 0.0))
-            weight = k * tau2 / (k * tau2 + sigma2) if k and tau2 > 0 else 0.0
-            out.append((weight * s / k + (1 - weight) * mean if weight else mean, weight, k))
-        got = pd.DataFrame(out, columns=["posterior_mean", "confidence", "prior_cell_n"])
-        return pd.concat([pdf[["event_id", "timestamp"]], got], axis=1)
-
-    return df.select("event_id", "timestamp", *cell, outcome, available).groupBy(F.lit(1).alias("series")).applyInPandas(walk, schema)
+    key = [F.col(c) for c in cell]
+    used = df.where(F.col(outcome).isNotNull() & (F.col(available) > F.col("timestamp")))
+    none = F.lit(None).cast("double")
+    events = used.select(F.col(available).alias("q_at"), F.lit(0).alias("q_side"), "event_id", "timestamp", *key, F.col(outcome).cast("double").alias("q_y"))
+    events = events.unionByName(df.select(F.col("timestamp").alias("q_at"), F.lit(1).alias("q_side"), "event_id", "timestamp", *key, none.alias("q_y")))
+    order = ["q_at", "q_side", "event_id", "timestamp"]
+    own = W.partitionBy(*cell).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    k, y = F.col("q_k"), F.col("q_y")
+    x = events.withColumns({"q_k": F.count("q_y").over(own), "q_s": F.coalesce(F.sum("q_y").over(own), F.lit(0.0))})
+    now, before = safe_div(F.col("q_s"), k), safe_div(F.col("q_s") - y, k - 1)
+    came, grew = k == 2, k > 2
+    change = lambda f: F.when(y.isNull(), 0.0).when(came, f(now, k)).when(grew, f(now, k) - f(before, k - 1)).otherwise(0.0)
+    parts = {
+        "q_n": F.when(y.isNull(), 0.0).otherwise(1.0), "q_total": F.coalesce(y, F.lit(0.0)), "q_square": F.coalesce(y * y, F.lit(0.0)),
+        "q_cells": F.when(y.isNotNull() & came, 1.0).otherwise(0.0), "q_m1": change(lambda m, n: m), "q_m2": change(lambda m, n: m * m), "q_inv": change(lambda m, n: safe_div(F.lit(1.0), n)),
+    }
+    x = x.withColumns(parts).withColumn("q_day", F.to_date("q_at"))
+    days = x.groupBy("q_day").agg(*[F.sum(c).alias(f"{c}_d") for c in parts])
+    earlier = W.orderBy("q_day").rowsBetween(W.unboundedPreceding, -1)  # one row a day
+    days = days.select("q_day", *[F.coalesce(F.sum(f"{c}_d").over(earlier), F.lit(0.0)).alias(f"{c}_d") for c in parts])
+    inside = W.partitionBy("q_day").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    x = x.join(days, "q_day").withColumns({c: F.col(f"{c}_d") + F.sum(c).over(inside) for c in parts}).where("q_side = 1")
+    n, cells = F.col("q_n"), F.round("q_cells")
+    mean = safe_div(F.col("q_total"), n)
+    sigma2 = F.when(n > 1, F.greatest(safe_div(F.col("q_square") - F.col("q_total") * mean, n - 1), F.lit(1e-12))).otherwise(1.0)
+    spread = safe_div(F.col("q_m2") - safe_div(F.col("q_m1") * F.col("q_m1"), cells), cells - 1) - safe_div(sigma2 * F.col("q_inv"), cells)
+    tau2 = F.when(cells > 1, F.greatest(spread, F.lit(0.0))).otherwise(0.0)
+    x = x.withColumns({"q_mean": mean, "q_sigma2": sigma2, "q_tau2": tau2})
+    weight = F.when((k > 0) & (F.col("q_tau2") > 0), safe_div(k * F.col("q_tau2"), k * F.col("q_tau2") + F.col("q_sigma2"))).otherwise(0.0)
+    posterior = F.when(n > 0, F.when(weight > 0, weight * safe_div(F.col("q_s"), k) + (1 - weight) * F.col("q_mean")).otherwise(F.col("q_mean")))
+    return x.select("event_id", "timestamp", posterior.alias("posterior_mean"), F.when(n > 0, weight).otherwise(0.0).alias("confidence"), F.when(n > 0, k).otherwise(0).cast("int").alias("prior_cell_n"))
 
 
 def quality_weight(mean: Column, se: Column, cost: Column, reliability: Column, qualified: Column, least: float = 0.6) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -116,7 +118,7 @@ def drawdowns(spark, d):
 
 
 def performance(spark, d):
-    out = T.performance(daily_outcome(spark, d), ["all"], "net", trials=20)
+    out = T.performance(daily_outcome(spark, d).withColumn("net", F.col("net") * 0.001 - 0.011), ["all"], "net", trials=20)
     return rnd(out, [c for c in out.columns if c != "all"], 4)
 
 
@@ -166,9 +168,7 @@ def dependence(spark, d):
 def fusion(spark, d):
     bars = signals(spark, d)
     s = _signal_table(spark, d)
-    rho = {(r["left"], r["right"]): r["rho"] for r in P.dependence(s, 10).collect()}  # a row for each pair of a few detectors
-    clusters = P.complete_linkage(["R1", "R2", "R3"], rho)
-    return rnd(P.fuse(P.active_votes(s, bars), bars, clusters), ["mu", "active_horizon", "confidence_mass"])
+    return rnd(P.fuse(P.active_votes(s, bars), bars, P.causal_clusters(s, 10)), ["mu", "active_horizon", "confidence_mass"])
 
 
 def sizing(spark, d):
@@ -225,7 +225,7 @@ def _backtest(spark, d):
 
 def event_backtest(spark, d):
     out = _backtest(spark, d).withColumn("session_id", F.col("session_id").cast("string"))
-    return rnd(out, ["position", "gross_return", "cost", "net_return", "turnover"])
+    return rnd(rnd(out, ["position", "gross_return", "turnover"]), ["cost", "net_return"], 9)
 
 
 def backtest_days(spark, d):
@@ -342,6 +342,61 @@ SQL = {
         SELECT timestamp, long, short, round(ps, 6) + 0.0 AS pair_score, round(lw, 6) + 0.0 AS long_weight, round(sw, 6) + 0.0 AS short_weight FROM p QUALIFY row_number() OVER (PARTITION BY timestamp ORDER BY ps DESC, long, short) = 1""",
     "hash_draws": f"SELECT o_orderkey, {_U("'11'", 'o_orderkey', "'u'")} AS u FROM orders",
 }
+_CDF = lambda x: f"(CASE WHEN {x} >= 0 THEN 1 - {_TAIL(x)} WHEN {x} < 0 THEN {_TAIL(x)} END)"
+_T = lambda x: f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+_TAIL = lambda x: f"({_T(x)} * (0.254829592 + {_T(x)} * (-0.284496736 + {_T(x)} * (1.421413741 + {_T(x)} * (-1.453152027 + {_T(x)} * 1.061405429)))) * exp(-({x}) * ({x}) / 2) / 2)"
+_SR0 = (1 - 0.5772156649015329) * NormalDist().inv_cdf(1 - 1 / 20) + 0.5772156649015329 * NormalDist().inv_cdf(1 - 1 / (20 * 2.718281828459045))
+_PERF = ["annualized_return", "cumulative_return", "annualized_volatility", "downside_volatility", "var_95", "var_99", "skewness", "kurtosis", "sortino", "hit_rate", "payoff_ratio", "sharpe", "sharpe_se", "sharpe_ci_low", "sharpe_ci_high", "deflated_sharpe"]
+
+
+def backtest_ctes(source: str) -> str:
+    """The event backtest of a table with root, timestamp, session_id, target and the bars' columns. Every bar has the order of the bar before, so the position alone is carried."""
+    return f"""b0 AS (SELECT *, coalesce(lag(local_symbol) OVER ({W}) <> local_symbol, false) AS rolls FROM {source}),
+b1 AS (SELECT *, row_number() OVER ({W}) AS i, coalesce(ret, 0) AS total, lag(coalesce(target, 0)) OVER ({W}) AS want, lag(coalesce(target, 0) <> 0) OVER ({W}) AS active, is_valid AND NOT bool_or(rolls) OVER ({W} ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS trade,
+       bar_in_session < 2 OR bar_in_session > max(bar_in_session) OVER (PARTITION BY root, session_id) - 2 AS edge, 0.05 * coalesce(volume, 0) AS cap FROM b0),
+hp AS (SELECT root, i, 0.0::DOUBLE AS old, 0.0::DOUBLE AS position, false AS volume_limited FROM b1 WHERE i = 1
+  UNION ALL SELECT m.root, m.i, m.old, m.old + CASE WHEN abs(m.mv) > m.cap THEN sign(m.mv) * m.cap ELSE m.mv END, abs(m.mv) > m.cap FROM (
+    SELECT b1.root, b1.i, b1.cap, hp.position AS old, CASE WHEN want IS NULL OR NOT trade OR (abs(want) > abs(hp.position) + 1e-12 OR hp.position * want < 0) AND edge OR active AND abs(want - hp.position) <= 0.05 THEN 0.0 ELSE want - hp.position END AS mv
+    FROM hp JOIN b1 ON b1.root = hp.root AND b1.i = hp.i + 1) m),
+bt0 AS (SELECT b1.*, old, position, volume_limited, CASE WHEN old <> position AND wap > 0 AND close > 0 THEN ln(close / wap) END AS after FROM b1 JOIN hp USING (root, i)),
+bt AS (SELECT *, CASE WHEN after IS NOT NULL THEN old * (total - after) + position * after ELSE old * total END AS gross_return, 0.0003 * (0.5 * abs(position - old) + CASE WHEN rolls THEN abs(old) ELSE 0 END) AS cost,
+       abs(position - old) + 2 * CASE WHEN rolls THEN abs(old) ELSE 0 END AS turnover, old <> position AS executed FROM bt0)"""
+
+
+_BT = f"{SIG}, tg AS (SELECT *, direction * magnitude AS target FROM sg), {backtest_ctes('tg')}"
+SQL |= {
+    "causal_posterior": f"""WITH {SIG}, rd AS (SELECT root || '@' || timestamp::VARCHAR AS event_id, timestamp, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS structure, session_phase, outcome AS y, av
+            FROM (SELECT *, lead(timestamp, 4) OVER ({W}) AS av FROM sg) WHERE direction <> 0 AND outcome IS NOT NULL),
+        kn AS (SELECT t.event_id, o.structure, o.session_phase, count(*) AS k, sum(o.y) AS s, sum(o.y * o.y) AS sq FROM rd t JOIN rd o ON o.av <= t.timestamp AND o.av > o.timestamp GROUP BY ALL),
+        gl AS (SELECT event_id, sum(k) AS n, sum(s) AS total, sum(sq) AS square FROM kn GROUP BY event_id), sp AS (SELECT event_id, count(*) AS c, var_samp(s / k) AS v, avg(1.0 / k) AS inv FROM kn WHERE k >= 2 GROUP BY event_id),
+        a AS (SELECT rd.event_id, rd.timestamp, n, total / n AS mean, CASE WHEN n > 1 THEN greatest((square - total * total / n) / (n - 1), 1e-12) ELSE 1.0 END AS s2, c, v, inv, coalesce(k, 0) AS k, s
+              FROM rd LEFT JOIN gl USING (event_id) LEFT JOIN sp USING (event_id) LEFT JOIN kn ON kn.event_id = rd.event_id AND kn.structure = rd.structure AND kn.session_phase = rd.session_phase),
+        b AS (SELECT *, CASE WHEN c > 1 THEN greatest(v - s2 * inv, 0) ELSE 0 END AS tau FROM a), w AS (SELECT *, CASE WHEN k > 0 AND tau > 0 THEN k * tau / (k * tau + s2) ELSE 0.0 END AS w FROM b)
+        SELECT event_id, timestamp, round(CASE WHEN w > 0 THEN w * s / k + (1 - w) * mean ELSE mean END, 6) + 0.0 AS posterior_mean, round(w, 6) + 0.0 AS confidence, k::INT AS prior_cell_n FROM w""",
+    "economic_weight": f"""WITH {SIG}, al AS (SELECT avg(signed_z) AS mu0, var_samp(signed_z) AS s2 FROM tr), g AS (SELECT root, count(*) AS n, avg(signed_z) AS m FROM tr GROUP BY root),
+        t AS (SELECT *, least(greatest(var_samp(m - mu0) OVER () - avg(s2 / n) OVER (), 0), s2 / 100) AS tau FROM g, al), c AS (SELECT *, CASE WHEN tau > 0 THEN n * tau / (n * tau + s2) ELSE 0 END AS w FROM t),
+        z AS (SELECT *, (mu0 + w * (m - mu0) + 0.3 - 0.05) / 0.2 AS z FROM c)
+        SELECT root, round(least(greatest(w + 0.5, 0), 1) * least(greatest(({_CDF('z')} - 0.6) / 0.4, 0), 1) * (n > 10)::INT, 5) + 0.0 AS weight FROM z""",
+    "performance": f"""WITH {SIG}, pf AS (SELECT net * 0.001 - 0.011 AS net FROM dy), a AS (SELECT count(net) AS n, sum(net) AS s, avg(net) AS m, stddev_samp(net) AS sd, skewness(net) AS skewness, kurtosis(net) AS kurtosis, -quantile_cont(net, 0.05) AS var_95, -quantile_cont(net, 0.01) AS var_99,
+            sqrt(avg(least(net, 0) ** 2)) AS down, avg((net > 0)::INT) AS hit_rate, avg(net) FILTER (net > 0) / abs(avg(net) FILTER (net < 0)) AS payoff_ratio FROM pf),
+        b AS (SELECT *, m / sd * sqrt(252) AS sharpe, sqrt(greatest(1 - skewness * m / sd + (kurtosis + 2) * (m / sd) ** 2 / 4, 0) / (n - 1)) * sqrt(252) AS sharpe_se FROM a),
+        c AS (SELECT *, exp(s * 252 / n) - 1 AS annualized_return, exp(s) - 1 AS cumulative_return, sd * sqrt(252) AS annualized_volatility, down * sqrt(252) AS downside_volatility, m * 252 / nullif(down * sqrt(252), 0) AS sortino, sharpe - 1.96 * sharpe_se AS sharpe_ci_low,
+              sharpe + 1.96 * sharpe_se AS sharpe_ci_high, (sharpe - sharpe_se * {_SR0!r}) / sharpe_se AS zz FROM b), d AS (SELECT *, {_CDF('zz')} AS deflated_sharpe FROM c) SELECT 'all' AS "all", {', '.join(_R(c, 4) for c in _PERF)} FROM d""",
+    "fusion": f"""WITH {SIG}, {_VOTES}, o AS (SELECT root, timestamp, detector, direction::DOUBLE AS d FROM s3 WHERE direction <> 0), dd AS (SELECT DISTINCT timestamp::DATE AS day FROM sg),
+        jn AS (SELECT p.timestamp::DATE AS day, p.detector || q.detector AS pair, p.d AS x, q.d AS y FROM o p JOIN o q ON p.root = q.root AND p.timestamp = q.timestamp AND p.detector < q.detector),
+        rh AS (SELECT dd.day, pair, CASE WHEN count(*) >= 10 AND stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN abs(corr(x, y)) ELSE 0 END AS r FROM dd JOIN jn ON jn.day < dd.day GROUP BY ALL),
+        ab AS (SELECT dd.day, coalesce(max(r) FILTER (pair = 'R1R2'), 0) AS a, coalesce(max(r) FILTER (pair = 'R1R3'), 0) AS b, coalesce(max(r) FILTER (pair = 'R2R3'), 0) AS c FROM dd LEFT JOIN rh ON rh.day = dd.day GROUP BY dd.day),
+        mg AS (SELECT day, CASE WHEN greatest(a, b, c) < 0.6 THEN 0 WHEN least(a, b, c) >= 0.6 THEN 4 WHEN a = greatest(a, b, c) THEN 1 WHEN b = greatest(a, b, c) THEN 2 ELSE 3 END AS m FROM ab),
+        cl AS (SELECT day, detector, CASE detector WHEN 'R1' THEN 1 WHEN 'R2' THEN CASE WHEN m IN (1, 4) THEN 1 ELSE 2 END ELSE CASE m WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 3 THEN 2 ELSE 3 END END AS k FROM mg, (SELECT unnest(['R1', 'R2', 'R3']) AS detector)),
+        cs AS (SELECT *, count(*) OVER (PARTITION BY day, k) AS size FROM cl),
+        v AS (SELECT vt.root, ix.timestamp, k, sum(num) / any_value(size) AS num, sum(den) / any_value(size) AS den, sum(mass) / any_value(size) AS mass FROM vt JOIN ix USING (root, i) JOIN cs ON cs.day = ix.timestamp::DATE AND cs.detector = vt.detector GROUP BY ALL),
+        t AS (SELECT root, timestamp, sum(num) AS num, sum(den) AS den, sum(mass) AS mass, count(*) AS n FROM v GROUP BY ALL)
+        SELECT sg.root, sg.timestamp, round(coalesce(num, 0) / (coalesce(den, 0) + 0.5), 6) + 0.0 AS mu, round(coalesce(mass / nullif(den, 0), 1), 6) + 0.0 AS active_horizon, round(coalesce(den, 0), 6) + 0.0 AS confidence_mass, coalesce(n, 0)::INT AS active_clusters FROM sg LEFT JOIN t USING (root, timestamp)""",
+    "event_backtest": f"""WITH RECURSIVE {_BT} SELECT root, timestamp, session_id::VARCHAR AS session_id, {_R('position')}, {_R('gross_return')}, {_R('cost', 9)}, round(gross_return - cost, 9) + 0.0 AS net_return, {_R('turnover')}, executed, volume_limited FROM bt""",
+    "backtest_days": f"""WITH RECURSIVE {_BT} SELECT timestamp::DATE::VARCHAR AS day, round(sum(gross_return), 6) + 0.0 AS gross, round(sum(cost), 6) + 0.0 AS cost, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover, count_if(executed)::BIGINT AS fills FROM bt GROUP BY ALL""",
+    "holding_periods": f"""WITH RECURSIVE {_BT}, sd AS (SELECT root, timestamp, sign(position)::INT AS side, row_number() OVER ({W}) - row_number() OVER (PARTITION BY root, sign(position) ORDER BY timestamp) AS run FROM bt)
+        SELECT root, side, count(*) AS bars, min(timestamp) AS opened FROM sd WHERE side <> 0 GROUP BY root, side, run""",
+}
 _ALL = (
     stat_card, newey_west, stationary_bootstrap, day_block_bootstrap, matched_null, null_percentile, categories, shrinkage, root_shrinkage, causal_posterior, economic_weight, purged_splits, walk_forward, drawdowns, performance, concentration,
     calibration, calibration_scores, quantile_calibration, adjusted_rand, active_votes, dependence, fusion, sizing, weight_ledger, buy_and_hold, strategy_costs, held_sign, thinned_events, best_pairs, pair_policy, event_backtest, backtest_days, holding_periods, hash_draws,

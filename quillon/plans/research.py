@@ -11,7 +11,7 @@ from quillon.operators import market as M
 from quillon.operators import relational as L
 from quillon.operators import research as R
 from quillon.operators.features import snapshots
-from quillon.plans.evaluation import _R, _U, SEED, SIG, _backtest, signals
+from quillon.plans.evaluation import _R, _U, SEED, SIG, _backtest, backtest_ctes, signals
 from quillon.plans.market import rnd
 from quillon.plans.prototypes import _DI, _LB, COORDS, _labelled, _member, coordinates
 from quillon.plans.sql import BARS, W, strict
@@ -173,6 +173,9 @@ SQL = {
     "ranked_scores": f"WITH {_LB} SELECT root, round(avg({_RPS}), 6) + 0.0 AS rps, count(*) AS n FROM lb GROUP BY root",
     "feature_audit": f"WITH {_LB}, au AS (SELECT *, move * 2 + 0.001 AS twin FROM co) {_REDUNDANT}",
 }
+SQL["shuffled_backtests"] = f"""WITH RECURSIVE {SIG}, nb AS (SELECT *, direction * magnitude AS t0, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY root) AS n FROM sg), dw AS (SELECT *, unnest(range(5)) AS draw FROM nb),
+    mv AS (SELECT a.root || '#' || a.draw AS root, a.timestamp, a.session_id, a.local_symbol, a.ret, a.is_valid, a.bar_in_session, a.volume, a.wap, a.close, b.t0 AS target FROM dw a JOIN nb b ON b.root = a.root AND b.i = (a.i + floor({_U(f"'{SEED}'", 'a.root', 'a.draw')} * a.n)::BIGINT) % a.n),
+    {backtest_ctes('mv')} SELECT split_part(root, '#', 2)::INT AS draw, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover FROM bt GROUP BY ALL"""
 _ALL = (
     path_labels, regimes, market_residuals, past_betas, trailing_thresholds, day_shift_null, stratified_null, attributions, parameter_surface, dual_snapshots, state_medoids, ranked_scores, feature_audit, seasonality, har_forecast, shrunk_correlations,
     certified_stumps, whitening, shuffled_backtests,

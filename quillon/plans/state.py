@@ -263,5 +263,28 @@ SQL |= {
         "CASE WHEN root IN ('click', 'view', 'error') AND local_minute = 900 AND abs(zc) > 0.3 THEN -sign(zc) END", "least(greatest((abs(zc) - 0.3) / 2, 0), 1) * (1 + 0.25 * me::INT + 0.25 * (me AND month(session_id) IN (3, 6, 9, 12))::INT)", _CONTEXT,
     ),
 }
+_CLIP = lambda x, a, b: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, {a}), {b}) END"
+_GATE = {
+    "d01": ["-er", "-grow", "mid", "usual", "1.0"], "d02": ["er", "grow", "liquid"], "d04": ["low", "grow", "usual"], "d05": ["usual", "mid"], "d08": ["month", "usual"],
+}
+SQL |= {
+    "gates": f"""WITH {_CONTEXT}, g0 AS (SELECT root, timestamp, 2 * ({_CLIP('er_20', 0, 1)}) - 1 AS er, tanh(ln(CASE WHEN vol_ratio IS NOT NULL THEN greatest(vol_ratio, 1e-6) END) / 0.4) AS grow, 1 - 2 * ({_CLIP('sigma_pct', 0, 1)}) AS low,
+            1 - 4 * ({_CLIP('abs(sigma_pct - 0.5)', 0, 0.5)}) AS mid, 1 - 2 * ({_CLIP('abs(liq_z) / 3', 0, 1)}) AS usual, tanh(liq_z / 2) AS liquid,
+            least(greatest((m_next <> month(session_id))::INT + (m_next <> month(session_id) AND month(session_id) IN (3, 6, 9, 12))::INT - 0.5, -1.0), 1.0)::DOUBLE AS month FROM cx)
+        SELECT root, timestamp, {', '.join(f"round(0.2 + 1.3 / (1 + exp(-coalesce(list_avg([{', '.join(f'({p})::DOUBLE' for p in v)}]), 0))), 5) + 0.0 AS gate_{k}" for k, v in _GATE.items())} FROM g0""",
+    "finalized_sigma": f"""WITH {STATE}, z AS (SELECT *, sigma_day * (1 + hour(timestamp) / 100.0) AS base FROM st), q AS (SELECT *, (ret / nullif(base, 0)) ** 2 AS q FROM z),
+        y AS (SELECT root, timestamp, {ewm('q', '(1 - 0.97)', 5)} AS y FROM (SELECT *, row_number() OVER ({W}) - 1 AS t FROM q WHERE q IS NOT NULL)),
+        v AS (SELECT q.root, q.timestamp, base, lag(y) OVER (PARTITION BY q.root ORDER BY q.timestamp) AS before FROM q LEFT JOIN y ON y.root = q.root AND y.timestamp = q.timestamp),
+        u AS (SELECT *, coalesce({_CLIP('pow(before, 0.2)', 0.5, 2.5)}, 1.0) AS u FROM v) SELECT root, timestamp, round(u, 6) + 0.0 AS u, round(base * u, 6) + 0.0 AS sigma_hat FROM u""",
+    "detector_d06": _sig(
+        f"""q0 AS (SELECT *, ret / nullif(sigma_hat, 0) AS z FROM st), q1 AS (SELECT *, max(CASE WHEN root = 'purchase' THEN z END) OVER (PARTITION BY timestamp) AS ez FROM q0),
+        q2 AS (SELECT *, {strict('sum', 'z', 2)} AS own, {strict('sum', 'ez', 2)} AS es FROM q1 WHERE root = 'view'),
+        q3 AS (SELECT *, own - CASE WHEN count(own + es) OVER p >= 100 THEN covar_samp(own, es) OVER p END / nullif(CASE WHEN count(es) OVER p >= 100 THEN var_samp(es) OVER p END, 0) * es AS r
+               FROM q2 WINDOW p AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        q4 AS (SELECT *, CASE WHEN count(r) OVER p >= 100 THEN quantile_cont(r, 0.15) OVER p END AS lo, CASE WHEN count(r) OVER p >= 100 THEN quantile_cont(r, 0.85) OVER p END AS hi FROM q3 WINDOW p AS ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        fx AS (SELECT st.root, st.timestamp, r, lo, hi FROM st LEFT JOIN q4 USING (root, timestamp))""",
+        "CASE WHEN r < lo OR r > hi THEN -sign(r) END", "abs(r) / nullif((hi - lo) / 2, 0) - 1",
+    ),
+}
 _ALL = (context_1h, calendar_ny, session_hours, roll_table, ohlc_violations, anomalies, gap_summary, raw_inventory, chl_spread, causal_spread, session_variation, har_records, har_oos, finalized_sigma, gates, zigzag_pivots, structure_1h, *(_detector(n) for n in SMALL))
 QUERIES = {f.__name__: f for f in _ALL}
