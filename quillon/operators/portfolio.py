@@ -116,7 +116,7 @@ def scale_portfolio(targets: DataFrame, correlations: DataFrame, vol: float = 0.
     """
     a = targets.select("timestamp", F.col("root").alias("a"), (F.col("target") * F.col("sigma_ann")).alias("xa"))
     b = targets.select("timestamp", F.col("root").alias("b"), (F.col("target") * F.col("sigma_ann")).alias("xb"))
-    var = a.join(b, "timestamp").join(F.broadcast(correlations), ["a", "b"]).groupBy("timestamp").agg(F.sum(F.col("xa") * F.col("xb") * F.col("corr")).alias("q_var"))
+    var = a.join(b, "timestamp").join(correlations, ["a", "b"]).groupBy("timestamp").agg(F.sum(F.col("xa") * F.col("xb") * F.col("corr")).alias("q_var"))
     side = targets.groupBy("timestamp").agg(F.sum(F.greatest("target", F.lit(0.0))).alias("q_long"), F.sum(F.greatest(-F.col("target"), F.lit(0.0))).alias("q_short"))
     x = targets.join(var, "timestamp", "left").join(side, "timestamp", "left")
     scale = F.least(F.lit(1.0), F.coalesce(safe_div(F.lit(vol), F.sqrt(F.greatest("q_var", F.lit(0.0)))), F.lit(1.0)))

@@ -75,7 +75,7 @@ def state_assignment(spark, d):
 
 
 def soft_membership(spark, d):
-    x = _member(spark, d).select("vec_id", F.posexplode("weights").alias("i", "weight")).where("weight >= 0.05")
+    x = _member(spark, d).select("vec_id", F.posexplode("weights").alias("i", "weight"))
     return rnd(x, ["weight"], 5)
 
 
@@ -171,7 +171,7 @@ SQL = {
         SELECT root, timestamp, round(loss_path, 6) + 0.0 AS loss_path, round(loss_flow, 6) + 0.0 AS loss_flow, round(exp(-(2 * loss_path + loss_flow) / 3), 6) + 0.0 AS match FROM l""",
     "cosine_to_centre": f"WITH {_CE} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 5) + 0.0 AS cosine FROM embeddings JOIN ce ON id = label",
     "state_assignment": f"""WITH {_DI}, r AS (SELECT vec_id, list({{'d': d, 'id': id}} ORDER BY round(d, 9), id) AS x FROM di GROUP BY vec_id) SELECT vec_id, x[1].id AS state, round(x[1].d, 5) + 0.0 AS distance, round(x[2].d - x[1].d, 5) + 0.0 AS margin FROM r""",
-    "soft_membership": f"WITH {_WE} SELECT vec_id, id AS i, round(w, 5) + 0.0 AS weight FROM we WHERE w >= 0.05",
+    "soft_membership": f"WITH {_WE} SELECT vec_id, id AS i, round(w, 5) + 0.0 AS weight FROM we",
     "state_distributions": f"""WITH {_LB}, g AS (SELECT unnest(range(5))::INT AS label), pr AS (SELECT label, (count(y) + 1) / (sum(count(y)) OVER () + 5) AS prior FROM g LEFT JOIN lb ON y = label GROUP BY label),
         c AS (SELECT s.state, label, prior, count(y) AS n FROM (SELECT DISTINCT state FROM lb) s CROSS JOIN pr LEFT JOIN lb ON lb.state = s.state AND y = label GROUP BY ALL)
         SELECT state, label, round((n + 20 * prior) / (sum(n) OVER (PARTITION BY state) + 20), 6) + 0.0 AS probability FROM c""",
