@@ -15,6 +15,7 @@ from quillon.plans.market import rnd
 from quillon.plans.prototypes import _CO, _DI, _SH, _WE, _e, _labelled, _member, coordinates, shares
 from quillon.plans.sql import W, lag, strict
 from quillon.plans.state import STATE, state
+from quillon.sources.lineage import cut
 
 
 def path_changes(spark, d):
@@ -108,7 +109,7 @@ def slow_coordinates(spark, d):
 
 
 def scaled_portfolio(spark, d):
-    x = E.sizing(spark, d).select("root", "timestamp", "target", "sigma_ann").where("target IS NOT NULL AND sigma_ann IS NOT NULL")
+    x = cut(E.sizing(spark, d).select("root", "timestamp", "target", "sigma_ann").where("target IS NOT NULL AND sigma_ann IS NOT NULL"))  # read five times
     roots = x.select(F.col("root").alias("a")).distinct()
     corr = roots.join(roots.withColumnRenamed("a", "b"), F.lit(True)).withColumn("corr", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.3))  # a few instruments
     return rnd(P.scale_portfolio(x, corr, 0.1, 1.0).select("root", "timestamp", "target"), ["target"], 6)
