@@ -251,3 +251,52 @@ def test_communities_of_all_rows_at_a_fixed_point(spark, tmp_path):
         for i in label:
             around = [label[j] for j in {y for x, y in links if x == i} | {x for x, y in links if y == i}]
             assert around.count(label[i]) == max(map(around.count, around))
+
+
+def test_expanding_quantiles_are_those_of_all_earlier_rows(spark):
+    from quillon.functions.windows import Ordered, expanding_quantiles
+
+    rng = np.random.default_rng(3)
+    seen, held = [], Ordered()
+    for x in rng.normal(size=6000).round(2):
+        seen.append(x)
+        held.add(float(x))
+        if len(seen) % 997 == 0:
+            assert all(np.isclose(held.quantile(q), np.quantile(seen, q)) for q in (0, 0.15, 0.5, 0.97, 1))
+    rows = [(f"r{i % 2}", i, None if i % 7 == 0 else float(rng.normal())) for i in range(60)]
+    got = expanding_quantiles(spark.createDataFrame(rows, "root string, i int, x double"), ["root"], ["i"], "x", {"lo": 0.1, "mid": 0.5}, 5).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        past = [x for r, i, x in rows if r == g.root and i < g.i and x is not None]
+        if len(past) < 5:
+            assert g.lo is None and g.mid is None
+        else:
+            assert np.isclose(g.lo, np.quantile(past, 0.1)) and np.isclose(g.mid, np.median(past))
+
+
+def test_clusters_of_a_day_know_only_the_days_before(spark):
+    from quillon.operators.portfolio import causal_clusters
+
+    day = lambda k, h: f"2024-01-{k:02d} {h:02d}:00:00"
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(1, 9):
+        for h in range(20):
+            a = int(rng.choice([-1, 1]))
+            rows += [("x", day(k, h), "A", a), ("x", day(k, h), "B", a if k <= 4 else int(rng.choice([-1, 1]))), ("x", day(k, h), "C", int(rng.choice([-1, 1])))]
+    make = lambda r: spark.createDataFrame(r, "root string, timestamp string, detector string, direction int").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    key = lambda d: {(str(x.day), x.detector): (x.cluster, x.size) for x in d.collect()}
+    whole = key(causal_clusters(make(rows), 30))
+    part = key(causal_clusters(make([r for r in rows if r[1] < "2024-01-05"]), 30))
+    assert part == {k: v for k, v in whole.items() if k[0] < "2024-01-05"}
+    assert whole["2024-01-01", "A"][1] == 1 and whole["2024-01-04", "A"] == whole["2024-01-04", "B"] == (1, 2)
+    assert whole["2024-01-04", "C"][1] == 1
+
+
+def test_detector_d06_on_a_long_series(spark):
+    from quillon.operators.detectors import signal
+
+    n = 25_000
+    x = spark.range(n).select(F.lit("HSI").alias("root"), F.timestamp_seconds(F.col("id") * 300).alias("timestamp"), (F.rand(1) - 0.5).alias("ret"), F.lit(0.3).alias("sigma_hat"), (F.rand(2) - 0.5).alias("es_ret_z"))
+    got = signal("D06", x).groupBy("direction").count().collect()
+    assert sum(g["count"] for g in got) == n and {g["direction"] for g in got} == {-1, 0, 1}
