@@ -136,7 +136,8 @@ def boosted_regression(spark, d):
 
 def isotonic_gate(spark, d):
     x = _labelled(spark, d)
-    return S.isotonic_curve(x.select(F.col("activity").alias("x"), (F.col("q_later") - F.col("q_now")).alias("r")), "x", "r")
+    curve = S.isotonic_curve(x.select(F.col("activity").alias("x"), (F.col("q_later") - F.col("q_now")).alias("r")), "x", "r")
+    return rnd(curve.select("bin", "mean_x", "mean_y", "n", "isotonic"), ["mean_x", "mean_y", "isotonic"])
 
 
 _CO = f"""{STATE}, co AS (SELECT root, timestamp, ln(close / open) AS move, ln(1 + volume) AS activity, {strict('sum', 'ret', 6)} AS trend, sigma_hat, lead(ln(close), 4) OVER ({W}) AS q_later, ln(close) AS q_now FROM st)"""
@@ -178,6 +179,17 @@ SQL = {
     "soft_forecast": f"""WITH {_WE}, e AS (SELECT label AS state, (vec_id % 3)::INT AS y FROM embeddings), g AS (SELECT unnest(range(3))::INT AS label), pr AS (SELECT label, (count(y) + 1) / (sum(count(y)) OVER () + 3) AS prior FROM g LEFT JOIN e ON y = label GROUP BY label),
         c AS (SELECT s.state, label, prior, count(y) AS n FROM (SELECT DISTINCT state FROM e) s CROSS JOIN pr LEFT JOIN e ON e.state = s.state AND y = label GROUP BY ALL), t AS (SELECT state, label, (n + 5 * prior) / (sum(n) OVER (PARTITION BY state) + 5) AS p FROM c)
         SELECT vec_id, label, round(sum(w * p), 5) + 0.0 AS probability FROM we JOIN t ON t.state = we.id GROUP BY ALL""",
+    "isotonic_gate": f"""WITH {_LB}, r AS (SELECT activity AS x, q_later - q_now AS y, row_number() OVER (ORDER BY activity, q_later - q_now) AS r, count(*) OVER () AS c FROM lb WHERE activity IS NOT NULL),
+        b AS (SELECT greatest(((r - 1) * 10 + c - 2) // greatest(c - 1, 1) - 1, 0)::INT AS bin, avg(x) AS mean_x, avg(y) AS mean_y, count(*)::DOUBLE AS n FROM r GROUP BY ALL),
+        m AS (SELECT p.bin AS a, q.bin AS z, sum(s.mean_y * s.n) / sum(s.n) AS m FROM b p JOIN b q ON q.bin >= p.bin JOIN b s ON s.bin BETWEEN p.bin AND q.bin GROUP BY ALL),
+        f AS (SELECT bin, max(lo) AS isotonic FROM (SELECT b.bin, m.a, min(m.m) AS lo FROM b JOIN m ON m.a <= b.bin AND m.z >= b.bin GROUP BY ALL) GROUP BY bin)
+        SELECT bin, round(mean_x, 6) + 0.0 AS mean_x, round(mean_y, 6) + 0.0 AS mean_y, n, round(isotonic, 6) + 0.0 AS isotonic FROM b JOIN f USING (bin)""",
+    "walk_forward_ridge": f"""WITH {_CO}, x AS (SELECT timestamp, date_diff('day', (SELECT min(timestamp) FROM co WHERE q_later IS NOT NULL AND trend IS NOT NULL AND move IS NOT NULL)::DATE, timestamp::DATE) AS dd, move AS a, trend AS b, q_later - q_now AS y
+            FROM co WHERE q_later IS NOT NULL AND trend IS NOT NULL AND move IS NOT NULL), sp AS (SELECT ((epoch(max(timestamp)) - epoch(min(timestamp))) // 86400)::INT AS days FROM x), fo AS (SELECT unnest(range(((days - 12) // 6 + 1)::BIGINT)) AS fold FROM sp),
+        m AS (SELECT fold, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM fo JOIN x ON dd >= fold * 6 AND dd < fold * 6 + 12 GROUP BY fold),
+        s AS (SELECT *, n + 10.0 AS p, n * ab / (sa * sb) AS q, n * ay / sa AS u, n * by_ / sb AS v FROM m), k AS (SELECT *, (p * u - q * v) / (p * p - q * q) / sa AS ka, (p * v - q * u) / (p * p - q * q) / sb AS kb FROM s),
+        t AS (SELECT k.fold, y, my + ka * (a - ma) + kb * (b - mb) AS f, my FROM x JOIN k ON k.fold = (dd - 12) // 6 WHERE dd >= 12)
+        SELECT fold::INT AS fold, round(1 - sum((y - f) ** 2) / nullif(sum((y - my) ** 2), 0), 5) + 0.0 AS r2, count(*) AS n FROM t GROUP BY fold""",
     "ridge_regression": f"""WITH {_CO}, x AS (SELECT root, move AS a, activity AS b, q_later - q_now AS y FROM co WHERE q_later IS NOT NULL AND move IS NOT NULL),
         m AS (SELECT root, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM x GROUP BY root),
         s AS (SELECT *, n + 10.0 AS p, n * ab / (sa * sb) AS q, n * ay / sa AS u, n * by_ / sb AS v FROM m), k AS (SELECT *, (p * u - q * v) / (p * p - q * q) / sa AS ka, (p * v - q * u) / (p * p - q * q) / sb AS kb FROM s)
