@@ -112,7 +112,7 @@ def shrunk_correlations(spark, d):
 
 def certified_stumps(spark, d):
     x = _labelled(spark, d).withColumn("target", F.col("q_later") - F.col("q_now"))
-    return R.certified_stumps(x, "state", COORDS, "target", "timestamp", 3)
+    return rnd(R.certified_stumps(x, "state", COORDS, "target", "timestamp", 3), ["threshold", "gain"])
 
 
 def whitening(spark, d):
@@ -173,6 +173,15 @@ SQL = {
     "ranked_scores": f"WITH {_LB} SELECT root, round(avg({_RPS}), 6) + 0.0 AS rps, count(*) AS n FROM lb GROUP BY root",
     "feature_audit": f"WITH {_LB}, au AS (SELECT *, move * 2 + 0.001 AS twin FROM co) {_REDUNDANT}",
 }
+_SIDE = {"ll": "NOT late AND v <= threshold", "lr": "NOT late AND v > threshold", "vl": "late AND v <= threshold", "vr": "late AND v > threshold"}
+_SUMS = ", ".join(f"count(*) FILTER ({c}) AS n_{k}, coalesce(sum(y) FILTER ({c}), 0) AS s_{k}, count(DISTINCT dd) FILTER ({c}) AS d_{k}" for k, c in _SIDE.items())
+_SAVED = " + ".join(f"2 * s_v{k} * (m{k} - m) - n_v{k} * (m{k} * m{k} - m * m)" for k in "lr")
+SQL["certified_stumps"] = f"""WITH {_LB}, x AS (SELECT state, (timestamp::DATE - DATE '2024-01-01')::INT AS dd, {', '.join(COORDS)}, q_later - q_now AS y FROM lb WHERE {' AND '.join(f'{c} IS NOT NULL' for c in COORDS)}),
+    cu AS (SELECT state, quantile_cont(dd::DOUBLE, 2 / 3.0) AS cut FROM x GROUP BY state), lg AS ({' UNION ALL '.join(f"SELECT state, dd, dd >= cut AS late, y, '{c}' AS feature, {c} AS v FROM x JOIN cu USING (state)" for c in COORDS)}),
+    gq AS (SELECT state, feature, quantile_cont(v, [{', '.join(str(i / 10) for i in range(1, 10))}]) AS q FROM lg WHERE NOT late GROUP BY ALL), gr AS (SELECT DISTINCT state, feature, unnest(q) AS threshold FROM gq),
+    s AS (SELECT state, feature, threshold, {_SUMS} FROM lg JOIN gr USING (state, feature) GROUP BY ALL), t AS (SELECT *, s_ll / nullif(n_ll, 0) AS ml, s_lr / nullif(n_lr, 0) AS mr, (s_ll + s_lr) / nullif(n_ll + n_lr, 0) AS m FROM s),
+    u AS (SELECT *, n_ll * ml * ml + n_lr * mr * mr - (n_ll + n_lr) * m * m AS fit, {_SAVED} AS gain FROM t)
+    SELECT state, feature, round(threshold, 6) + 0.0 AS threshold, round(gain, 6) + 0.0 AS gain FROM (SELECT * FROM u WHERE least(d_ll, d_lr) >= 3 AND fit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY state ORDER BY fit DESC, feature, threshold) = 1) WHERE gain > 0"""
 SQL["shuffled_backtests"] = f"""WITH RECURSIVE {SIG}, nb AS (SELECT *, direction * magnitude AS t0, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY root) AS n FROM sg), dw AS (SELECT *, unnest(range(5)) AS draw FROM nb),
     mv AS (SELECT a.root || '#' || a.draw AS root, a.timestamp, a.session_id, a.local_symbol, a.ret, a.is_valid, a.bar_in_session, a.volume, a.wap, a.close, b.t0 AS target FROM dw a JOIN nb b ON b.root = a.root AND b.i = (a.i + floor({_U(f"'{SEED}'", 'a.root', 'a.draw')} * a.n)::BIGINT) % a.n),
     {backtest_ctes('mv')} SELECT split_part(root, '#', 2)::INT AS draw, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover FROM bt GROUP BY ALL"""
