@@ -72,7 +72,7 @@ def causal_clusters(signals: DataFrame, least: int = 25, threshold: float = 0.6)
     c = F.col
     rho = (c("n") * c("sxy") - c("sx") * c("sy")) / F.sqrt((c("n") * c("sxx") - c("sx") * c("sx")) * (c("n") * c("syy") - c("sy") * c("sy")))
     free = (c("n") * c("sxx") > c("sx") * c("sx")) & (c("n") * c("syy") > c("sy") * c("sy"))
-    table = table.select("day", "left", "right", F.when((c("n") >= least) & free, rho).otherwise(0.0).alias("rho"))
+    table = table.select("day", "left", "right", F.when((c("n") >= least) & free, F.round(rho, 9)).otherwise(0.0).alias("rho"))  # rounded, so that ties are ties
 
     def cluster(pdf):
         import pandas as pd

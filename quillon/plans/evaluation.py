@@ -384,7 +384,7 @@ SQL |= {
               sharpe + 1.96 * sharpe_se AS sharpe_ci_high, (sharpe - sharpe_se * {_SR0!r}) / sharpe_se AS zz FROM b), d AS (SELECT *, {_CDF('zz')} AS deflated_sharpe FROM c) SELECT 'all' AS "all", {', '.join(_R(c, 4) for c in _PERF)} FROM d""",
     "fusion": f"""WITH {SIG}, {_VOTES}, o AS (SELECT root, timestamp, detector, direction::DOUBLE AS d FROM s3 WHERE direction <> 0), dd AS (SELECT DISTINCT timestamp::DATE AS day FROM sg),
         jn AS (SELECT p.timestamp::DATE AS day, p.detector || q.detector AS pair, p.d AS x, q.d AS y FROM o p JOIN o q ON p.root = q.root AND p.timestamp = q.timestamp AND p.detector < q.detector),
-        rh AS (SELECT dd.day, pair, CASE WHEN count(*) >= 10 AND stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN abs(corr(x, y)) ELSE 0 END AS r FROM dd JOIN jn ON jn.day < dd.day GROUP BY ALL),
+        rh AS (SELECT dd.day, pair, CASE WHEN count(*) >= 10 AND stddev_samp(x) > 0 AND stddev_samp(y) > 0 THEN round(abs(corr(x, y)), 9) ELSE 0 END AS r FROM dd JOIN jn ON jn.day < dd.day GROUP BY ALL),
         ab AS (SELECT dd.day, coalesce(max(r) FILTER (pair = 'R1R2'), 0) AS a, coalesce(max(r) FILTER (pair = 'R1R3'), 0) AS b, coalesce(max(r) FILTER (pair = 'R2R3'), 0) AS c FROM dd LEFT JOIN rh ON rh.day = dd.day GROUP BY dd.day),
         mg AS (SELECT day, CASE WHEN greatest(a, b, c) < 0.6 THEN 0 WHEN least(a, b, c) >= 0.6 THEN 4 WHEN a = greatest(a, b, c) THEN 1 WHEN b = greatest(a, b, c) THEN 2 ELSE 3 END AS m FROM ab),
         cl AS (SELECT day, detector, CASE detector WHEN 'R1' THEN 1 WHEN 'R2' THEN CASE WHEN m IN (1, 4) THEN 1 ELSE 2 END ELSE CASE m WHEN 2 THEN 1 WHEN 4 THEN 1 WHEN 3 THEN 2 ELSE 3 END END AS k FROM mg, (SELECT unnest(['R1', 'R2', 'R3']) AS detector)),
