@@ -6,6 +6,7 @@ are read over. Progressive, arithmetic or 12-bit files raise ``ValueError``.
 
 ``encode_payload`` stores bytes losslessly in this form: each byte is the DC coefficient of a flat 8x8 block (quantiser 8, so a block's eight-bit samples all equal the byte), 192 x k blocks
 a row, one restart segment a row. The thumbnail of such a file is the payload. A payload beyond a file's 8191 rows goes on in further files, one behind the other.
+``stored`` writes the media column as Parquet and reads it back; features come from the bytes that were read.
 
 Defined cases: a null text counts as empty; an empty text is 192 spaces; a null doc_id is kept; rows that repeat get equal rows; an empty table gives an
 empty result; other columns are ignored.
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents
+from quillon.llm.common import documents, fresh_dir
 
 UNIT = 192
 MOST_BLOCKS = 65535 // 8
 #: Bytes of payload that are coded and decoded at a time.
 AT_A_TIME = 1 << 21
-#: Code lengths of the DC categories 0 to 8 in files written here: prefix-free and without the all-ones code.
-_DC_LENGTHS = (4, 4, 4, 4, 3, 3, 3, 2, 4)
+#: Code lengths of the DC categories 0 to 8 in files written here: prefix-free and without the all-ones code. With a category's extra bits and the end-of-block
+#: bit, every block takes whole bytes (one up to category 6, two in 7, three in 8), so that equal passages are equal bytes to the codec of the table they are stored in.
+_DC_LENGTHS = (7, 6, 5, 4, 3, 2, 1, 8, 15)
 
 
 def _canonical(counts: list[int], symbols: list[int]) -> list[tuple[int, int, int]]:
@@ -432,11 +434,17 @@ def media_features(media: DataFrame) -> DataFrame:
                     names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"],
                 )
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long")
+
+
+def stored(media: DataFrame, path: str) -> DataFrame:
+    """media_column's rows, written to a new folder ``path`` that all executors reach, and read from there."""
+    media.write.parquet(path, compression="zstd")
+    return media.sparkSession.read.schema(media.schema).parquet(path)
 
 
 def op5_jpeg(spark, sf_dir: str) -> DataFrame:
-    return media_features(media_column(documents(spark, sf_dir)))
+    return media_features(stored(media_column(documents(spark, sf_dir)), fresh_dir(spark, "media")))
 
 
 SQL: dict[str, str] = {}

@@ -436,6 +436,7 @@ def test_crc_shift_and_chunks():
 
 def test_jpeg_round_trip(docs, none):
     from quillon.llm import jpeg
+    from quillon.llm.common import fresh_dir
 
     got = {g.payload_sha256: g for g in jpeg.media_features(jpeg.media_column(docs)).collect()}
     for x in rows():
@@ -445,6 +446,11 @@ def test_jpeg_round_trip(docs, none):
         media = jpeg.encode_payloads([p])[0]
         assert g.media_sha256 == hashlib.sha256(media).hexdigest() and g.media_bytes == len(media)
     assert jpeg.media_features(jpeg.media_column(none)).count() == 0
+    for table in (docs, none):  # what is read from the stored form is what went in
+        path = fresh_dir(table.sparkSession, "media-test")
+        kept = jpeg.stored(jpeg.media_column(table), path)
+        assert all(path in f for f in kept.inputFiles())
+        assert sorted(map(str, jpeg.media_features(kept).collect())) == sorted(map(str, jpeg.media_features(jpeg.media_column(table)).collect()))
     wide = jpeg.payload("ab" * 1_000_000)
     assert b"".join(t.tobytes() for _, t in jpeg.dc_thumbnails(jpeg.encode_payloads([wide]))[0]) == wide
 
