@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +63,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forgetful(run: Callable, *forget: Callable[[], None]) -> Callable:
+    """``run`` for mapInArrow. When a task's rows are through, ``forget`` drops what the worker remembers, since workers live on through later stages."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            for f in forget:
+                f()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -53,6 +53,11 @@ def word(token: str) -> tuple[int, int]:
     return found
 
 
+def forget() -> None:
+    _shapes.clear()
+    _words.clear()
+
+
 def _mixed(codes: np.ndarray, salt: int) -> np.ndarray:
     """Feature numbers of 64-bit codes."""
     x = (codes + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)

@@ -69,6 +69,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def forget() -> None:
+    _hashes.clear()
+
+
 def split_of(doc_id) -> object:
     """0: counted, 1: deleted, 2: never learned from."""
     rest = id_crc32(doc_id) % 7

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents
+from quillon.llm.common import documents, forgetful
 
 SPACE = "▁"
 #: Words, and pairs of tokens, that a worker remembers before it starts anew.
@@ -229,6 +229,12 @@ class PieceBpe:
         return self.library.decode(ids)
 
 
+def forget() -> None:
+    for m in _MODELS.values():
+        for known in (m.words, m.pairs, m.edges, m.runs):
+            known.clear()
+
+
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """One row per document: doc_id, ids (with the end id), decoded text."""
     path = model or default_model()
@@ -252,14 +258,14 @@ def encoded_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bpe = PieceBpe.of(path)
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for x in b.column(1).to_pylist():
+            for x in (x for i in range(0, b.num_rows, 500) for x in b.column(1).slice(i, 500).to_pylist()):
                 ids, decimal = bpe.encode(x)
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(decimal.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(forgetful(run, forget), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:

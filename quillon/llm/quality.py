@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import documents, id_crc32, labels
-from quillon.llm.learned import FEATURES, SAMPLED, class_counts, labelled, sample, shape_features
+from quillon.llm.common import documents, forgetful, id_crc32, labels
+from quillon.llm.learned import FEATURES, SAMPLED, class_counts, forget, labelled, sample, shape_features
 
 THRESHOLD = 0.7
 
@@ -110,13 +110,13 @@ def _with_score(docs: DataFrame, model: Model, at: int, schema, keep=None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            s = np.array([m.score(shape_features(x)) for x in b.column(at).to_pylist()], np.float64)
+            s = np.array([m.score(shape_features(x)) for i in range(0, b.num_rows, 500) for x in b.column(at).slice(i, 500).to_pylist()], np.float64)
             if keep is None:
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "q_score"])
             else:
                 yield b.filter(pa.array(s >= keep))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(forgetful(run, forget), schema)
 
 
 def scored(docs: DataFrame, label_rows: DataFrame, model: Model | None = None) -> DataFrame:
