@@ -110,7 +110,7 @@ class Edges:
         document = np.repeat(np.arange(len(ids)), np.diff(words.first))
         sums = np.zeros(max(0, n - k + 1), np.uint64)
         for i in range(k):
-            sums = sums * _ODD[0] + h[i : n - k + 1 + i]
+            sums = sums * _ODD[0] + h[i : i + len(sums)]
         known = np.array(ids.is_valid())
         self.at = np.flatnonzero((document[: len(sums)] == document[k - 1 :]) & known[document[: len(sums)]]) if len(sums) else np.zeros(0, np.int64)
         self.document, self.hash, self.words, self.k = document[self.at], _mixed(sums[self.at]), h, k
@@ -130,8 +130,8 @@ class Edges:
 
     def may_repeat(self, hit: np.ndarray) -> np.ndarray:
         """By distinct edge: hit elsewhere, or in several documents of this block. hit: by distinct edge."""
-        last = np.append(self.heads[1:], len(self.order)) - 1
-        self.several = self.document[self.order[self.heads]] != self.document[self.order[last]] if len(last) else np.zeros(0, bool)
+        last = np.append(self.heads[1:], len(self.order))[: len(self.heads)] - 1
+        self.several = self.document[self.order[self.heads]] != self.document[self.order[last]]
         return hit | self.several
 
     def tags(self, which: np.ndarray) -> np.ndarray:

@@ -104,14 +104,21 @@ def _own(a: Anchors, at: int, score: np.ndarray, same: np.ndarray, ids: np.ndarr
         yield 0, some[_best(score[some], ids[some], POSITIVES)]
 
 
+def _window(score: int) -> tuple[int, int]:
+    """Least and greatest score of a positive's negatives; none if the score is negative."""
+    return -(-LOW * score // 100), HIGH * score // 100
+
+
 def _others(a: Anchors, at: int, score: np.ndarray, same: np.ndarray, ids: np.ndarray):
-    p = a.positive.get(int(a.slot[at]))
-    if p is None:
+    p = a.positive.get(int(a.slot[at]), np.zeros(0))
+    p = p[p >= 0]
+    if not len(p):
         return
-    other = np.flatnonzero(~same & (ids != a.id[at]) & (100 * score <= HIGH * p.max()) & (100 * score >= LOW * p.min()))
+    windows = [_window(x) for x in sorted(set(p.tolist()))]
+    other = np.flatnonzero(~same & (ids != a.id[at]) & (score >= windows[0][0]) & (score <= windows[-1][1]))
     s, chosen = score[other], []
-    for one in np.unique(p):
-        some = np.flatnonzero((100 * s <= HIGH * one) & (100 * s >= LOW * one))
+    for low, high in windows:
+        some = np.flatnonzero((s >= low) & (s <= high))
         chosen.append(some[_best(s[some], ids[other[some]], NEGATIVES)])
     some = np.unique(np.concatenate(chosen))
     if len(some):
