@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -63,6 +64,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _trim() -> None:
+    """Freed memory goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def forgetful(run: Callable, *forget: Callable[[], None]) -> Callable:
     """``run`` for mapInArrow. When a task's rows are through, ``forget`` drops what the worker remembers, since workers live on through later stages."""
 
@@ -72,7 +81,7 @@ def forgetful(run: Callable, *forget: Callable[[], None]) -> Callable:
         finally:
             for f in forget:
                 f()
-            pa.default_memory_pool().release_unused()
+            _trim()
 
     return task
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, id_crc32
+from quillon.llm.common import cut, forgetful, id_crc32
 
 #: Size of the hashed feature space.
 FEATURES = 1 << 18
@@ -100,17 +100,19 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, features: Callable[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [np.unique(features(x), return_counts=True) for x in b.column(1).to_pylist()]
-            cols = [pa.array([x[i] for x in found], pa.list_(pa.int32())) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], *cols], names=["doc_id", *b.schema.names[2:], "f", "n"])
+            for i in range(0, b.num_rows, 500):
+                part = b.slice(i, 500)
+                found = [np.unique(features(x), return_counts=True) for x in part.column(1).to_pylist()]
+                cols = [pa.array([x[j] for x in found], pa.list_(pa.int32())) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *cols], names=["doc_id", *b.schema.names[2:], "f", "n"])
 
     rows = docs.where(F.col("doc_id").isNotNull() & (id_crc32(F.col("doc_id")) % modulus != train_rest)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     y = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
     y = cut(y)
     h = F.xxhash64("text").alias("h")
     if y.count() <= BROADCAST_ROWS:  # 16 bytes each: texts stay where they are and only labelled ones are read into features
-        return cut(rows.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y", h).mapInArrow(run, "doc_id long, y int, h long, f array<int>, n array<int>"))
-    return cut(rows.select("doc_id", "text", h).mapInArrow(run, "doc_id long, h long, f array<int>, n array<int>").join(y, "doc_id").select("doc_id", "y", "h", "f", "n"))  # features are thinner than texts
+        return cut(rows.join(F.broadcast(y), "doc_id").select("doc_id", "text", "y", h).mapInArrow(forgetful(run, forget), "doc_id long, y int, h long, f array<int>, n array<int>"))
+    return cut(rows.select("doc_id", "text", h).mapInArrow(forgetful(run, forget), "doc_id long, h long, f array<int>, n array<int>").join(y, "doc_id").select("doc_id", "y", "h", "f", "n"))  # features are thinner than texts
 
 
 def class_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
