@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -189,3 +191,102 @@ def fit_states(df: DataFrame, centres: DataFrame, tasks: dict[str, int], order:
     evidence = cut(split_evidence(at, tasks, strength=strength, **limits))
     leaves = cut(with_leaves(at, evidence))
     return children, evidence, leaf_tables(leaves, tasks, strength, symbol_strength, by), leaf_cards(leaves, by=by)
+
+
+def compact_features(df: DataFrame, groups: dict[str, list[str]], paths: dict[str, list[str]], variance: str, lags: tuple[int, ...] = LAGS, time: str = "timestamp") -> DataFrame:
+    """df (x2, ``represent``) with a few features a row: of each group its mean now and, where it has a path, the mean change over the longest and the shortest lag; each group's mean over all instruments of the
+    time; sine and cosine of the hour and of the place in the week; the log of the past variance."""
+    own: dict[str, Column] = {}
+    at = 0
+    x = lambda i: F.element_at("x2", i + 1)
+    mean = lambda cols: reduce(Column.__add__, cols) / len(cols)
+    for group, names in groups.items():
+        path = paths.get(group, [])
+        now = {n: x(at + i) for i, n in enumerate(names)}
+        own[f"{group}_current"] = mean(list(now.values()))
+        past = at + len(names)
+        if path:
+            for name, k in (("far", 0), ("near", len(lags) - 1)):
+                own[f"{group}_change_{name}"] = mean([now[n] - x(past + k * len(path) + i) for i, n in enumerate(path)])
+        at = past + len(path) * (len(lags) + 2)
+    out = df.withColumns(own)
+    out = out.withColumns({f"market_{g}": F.avg(f"{g}_current").over(W.partitionBy(time)) for g in groups})
+    hour = F.hour(time) + F.minute(time) / 60
+    turns = {"hour": hour / 24, "week": (F.weekday(time) + hour / 24) / 7}
+    clock = {f"clock_{n}_{k}": f(t * (2 * math.pi)) for n, t in turns.items() for k, f in (("sin", F.sin), ("cos", F.cos))}
+    return out.withColumns(clock | {"log_past_variance": F.when(F.col(variance).isNotNull(), F.ln(F.greatest(F.col(variance), F.lit(1e-10))))})
+
+
+def region_tables(weights: DataFrame, rows: DataFrame, key: list[str], classes: int, strength: float, by_strength: float, by: str = "root") -> tuple[DataFrame, DataFrame]:
+    """Label shares of soft regions: (region, label, probability), shrunk to all labels' shares, and (by, region, label, probability), each instrument's shrunk to the former.
+
+    weights: key, region, weight; rows: key (with ``by``), label.
+    """
+    grid = rows.sparkSession.range(classes).select(F.col("id").cast("int").alias("label"))
+    seen = beside(grid.join(rows.groupBy("label").agg(F.count("*").alias("q_k")), "label", "left"), rows.agg(F.count("*").alias("q_n")))
+    back = seen.select("label", ((F.coalesce("q_k", F.lit(0)) + 1) / (F.col("q_n") + classes)).alias("q_p"))
+    met = cut(weights.join(rows, key).groupBy(by, "region", "label").agg(F.sum("weight").alias("w")))  # a row for each instrument, region and label
+
+    def shrunk(groups: list[str], prior: DataFrame, on: list[str], s: float) -> DataFrame:
+        total = met.groupBy(*groups).agg(F.sum("w").alias("q_t"))
+        own = met.groupBy(*groups, "label").agg(F.sum("w").alias("q_w"))
+        x = total.join(prior, on) if on else total.join(prior, F.lit(True))
+        x = x.join(own, [*groups, "label"], "left")
+        return x.select(*groups, "label", ((F.coalesce("q_w", F.lit(0.0)) + s * F.col("q_p")) / (F.col("q_t") + s)).alias("probability"))
+
+    whole = cut(shrunk(["region"], back, [], strength))
+    return whole, shrunk([by, "region"], whole.withColumnRenamed("probability", "q_p"), ["region"], by_strength)
+
+
+def region_forecasts(member: DataFrame, key: list[str], general: DataFrame, local: DataFrame, by: str = "root") -> DataFrame:
+    """key, label, probability: membership-weighted shares of the row's instrument, or of all where the instrument was never seen. member: key (with ``by``), weights."""
+    flat = member.select(*key, F.posexplode("weights").alias("region", "w"))
+    x = flat.join(general.withColumnRenamed("probability", "q_g"), "region").join(local.withColumnRenamed("probability", "q_l"), [by, "region", "label"], "left")
+    return x.groupBy(*key, "label").agg(F.sum(F.col("w") * F.coalesce("q_l", "q_g")).alias("probability"))
+
+
+class FrozenStates:
+    """What inference needs, as small tables in memory: every instrument's maps, centres and regions' label shares. ``step`` reads the last snapshots of one instrument and nothing else.
+
+    maps: ``fit_maps``; centres: id, centre in the space of x1; general and local: ``region_tables``.
+    """
+
+    def __init__(self, maps: DataFrame, groups: dict[str, list[str]], paths: dict[str, list[str]], centres: DataFrame, temperature: float, general: DataFrame, local: DataFrame, lags: tuple[int, ...] = LAGS, by: str = "root"):
+        self.groups, self.paths, self.lags, self.temperature = groups, paths, lags, temperature
+        self.names = [n for g in groups.values() for n in g]
+        self.maps = {(r[by], r["name"]): (np.array([k.v for k in r["table"]]), np.array([k.p for k in r["table"]])) for r in maps.collect()}
+        self.centres = np.array([r["centre"] for r in centres.orderBy("id").collect()])
+        labels = 1 + general.agg(F.max("label")).first()[0]
+        self.general = np.zeros((len(self.centres), labels))
+        for r in general.collect():
+            self.general[r["region"], r["label"]] = r["probability"]
+        self.local: dict[str, np.ndarray] = {}
+        for r in local.collect():
+            self.local.setdefault(r[by], self.general.copy())[r["region"], r["label"]] = r["probability"]
+
+    @property
+    def depth(self) -> int:
+        """Snapshots that are kept of an instrument."""
+        return max(self.lags) + 1
+
+    def shares(self, root: str, values: list[float | None]) -> list[float]:
+        """A snapshot by its instrument's maps."""
+        out = []
+        for n, x in zip(self.names, values):
+            v, p = self.maps.get((root, n), (np.zeros(1), np.zeros(1)))
+            out.append(0.5 if x is None or x != x or len(v) == 1 else round(float(np.interp(x, v, p, left=0.0, right=1.0)), 9))
+        return out
+
+    def step(self, root: str, ring: list[list[float]], values: list[float | None]) -> tuple[list[list[float]], np.ndarray, np.ndarray, float]:
+        """The ring after a snapshot, the labels' probabilities, x1, and the distance to the nearest centre. ring: shares of the last snapshots, oldest first, ``depth`` at most."""
+        ring = [*ring, self.shares(root, values)][-self.depth :]
+        at = {n: i for i, n in enumerate(self.names)}
+        past = lambda n, k: ring[-1 - k][at[n]] if len(ring) > k else 0.5
+        x1 = []
+        for group, own in self.groups.items():
+            cols = [past(n, 0) for n in own] + [past(n, self.lags[0]) for n in self.paths.get(group, [])]
+            x1 += [(c - 0.5) * (2 / len(cols) ** 0.5) for c in cols]
+        x = np.array(x1)
+        d = np.sqrt(((x - self.centres) ** 2).sum(axis=1))
+        w = np.exp(-(d - d.min()) / self.temperature)
+        return ring, (w / w.sum()) @ self.local.get(root, self.general), x, float(d.min())

@@ -199,42 +199,6 @@ def best_pairs(scores: DataFrame) -> DataFrame:
     return x.withColumn("r", r).where("r = 1").select("timestamp", "long", "short", "pair_score", (F.col("bb") / (F.col("ba") + F.col("bb"))).alias("long_weight"), (-F.col("ba") / (F.col("ba") + F.col("bb"))).alias("short_weight"))
 
 
-def pair_policy(scores: DataFrame, enter: float, leave: float, least_age: int = 0, most_age: int | None = None, hurdle: float | None = None) -> DataFrame:
-    """timestamp, root, weight: a pair is opened when its score reaches ``enter``, kept while its own score stays above ``leave`` (and its age below ``most_age``) and exchanged for
-    one that beats it by ``hurdle``.
-
-    One ordered walk over times with a few instruments each; the state is a pair and its age.
-    """
-    panel = scores.groupBy("timestamp").agg(F.sort_array(F.collect_list(F.struct("root", "score", "beta"))).alias("x"))
-
-    def walk(pdf):
-        import pandas as pd
-
-        pdf, held, age, out = pdf.sort_values("timestamp"), None, 0, []
-        for now, rows in zip(pdf["timestamp"], pdf["x"]):
-            v = {r["root"]: (r["score"], r["beta"]) for r in rows}
-
-            def worth(pair, v=v):
-                (sa, ba), (sb, bb) = v[pair[0]], v[pair[1]]
-                return (bb * sa - ba * sb) / (ba + bb)
-
-            best = max(((worth((a, b)), -i, -j, (a, b)) for i, a in enumerate(v) for j, b in enumerate(v) if i != j), default=None)
-            if held and (held[0] not in v or held[1] not in v):
-                held = None
-            if held:
-                age += 1
-                if worth(held) <= 0 or most_age is not None and age >= most_age or age >= least_age and worth(held) < leave:
-                    held = None
-            if best and best[0] > 0 and (not held and best[0] >= enter or held and hurdle is not None and age >= least_age and best[0] > max(enter, worth(held) + hurdle)):
-                held, age = best[3], 1
-            if held:
-                a, b = beta_pair(v[held[0]][1], v[held[1]][1])
-                out += [(now, held[0], a), (now, held[1], b)]
-        return pd.DataFrame(out, columns=["timestamp", "root", "weight"])
-
-    return panel.groupBy(F.lit(1).alias("series")).applyInPandas(walk, "timestamp timestamp, root string, weight double")
-
-
 def event_backtest(df: DataFrame, delay: int = 1, edge: int = 2, roll_bars: int = 3, cost_multiplier: float = 1.5, participation: float = 0.05, price: str = "wap") -> DataFrame:
     """Decisions at the close, fills at the benchmark of a later bar that is valid and away from rolls.
 

@@ -211,11 +211,6 @@ def best_pairs(spark, d):
     return rnd(P.best_pairs(x), ["pair_score", "long_weight", "short_weight"])
 
 
-def pair_policy(spark, d):
-    x = signals(spark, d).where("x IS NOT NULL").select("timestamp", "root", F.col("x").alias("score"), (1 + F.hour("timestamp") % 3 * 0.25).alias("beta"))
-    return rnd(P.pair_policy(x, 1.0, 0.2, 2, 24, 0.5), ["weight"])
-
-
 def _backtest(spark, d):
     x = signals(spark, d)
     before = Bars("root", "timestamp").lag(F.col("local_symbol"))
@@ -399,6 +394,6 @@ SQL |= {
 }
 _ALL = (
     stat_card, newey_west, stationary_bootstrap, day_block_bootstrap, matched_null, null_percentile, categories, shrinkage, root_shrinkage, causal_posterior, economic_weight, purged_splits, walk_forward, drawdowns, performance, concentration,
-    calibration, calibration_scores, quantile_calibration, adjusted_rand, active_votes, dependence, fusion, sizing, weight_ledger, buy_and_hold, strategy_costs, held_sign, thinned_events, best_pairs, pair_policy, event_backtest, backtest_days, holding_periods, hash_draws,
+    calibration, calibration_scores, quantile_calibration, adjusted_rand, active_votes, dependence, fusion, sizing, weight_ledger, buy_and_hold, strategy_costs, held_sign, thinned_events, best_pairs, event_backtest, backtest_days, holding_periods, hash_draws,
 )
 QUERIES = {f.__name__: f for f in _ALL}

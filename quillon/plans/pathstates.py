@@ -99,6 +99,35 @@ def fitted_states(spark, d):
     return rnd(evidence, ["gain"])
 
 
+X1_CENTRES = [(0, [0.3, 0.3, 0.1, 0.2, 0.0, 0.0]), (1, [-0.3, -0.3, -0.1, 0.2, 0.0, 0.0]), (2, [0.0, 0.0, 0.2, -0.4, -0.2, 0.4])]
+TEMPERATURE, REGION, BY_REGION = 0.3, 50.0, 30.0
+
+
+def compact_features(spark, d):
+    x = S.compact_features(_represented(spark, d).withColumn("variance", F.pow("sigma_hat", F.lit(2.0))), GROUPS, PATHS, "variance")
+    return rnd(x.select("root", "timestamp", *COMPACT), COMPACT, 5)
+
+
+COMPACT = [f"{g}_{k}" for g in GROUPS for k in ("current", "change_far", "change_near") if k == "current" or g in PATHS] + [f"market_{g}" for g in GROUPS] + [f"clock_{n}_{k}" for n in ("hour", "week") for k in ("sin", "cos")] + ["log_past_variance"]
+
+
+def frozen_parts(spark, d):
+    """Memberships of all bars, and the label shares of the first twenty days."""
+    w = Bars("root", "timestamp")
+    x = _represented(spark, d).withColumn("y", digitize((F.col("q_later") - F.col("q_now")) / F.sqrt(F.greatest(F.pow("sigma_hat", F.lit(2.0)) * 4, F.lit(1e-10))), EDGES))
+    x = x.withColumn("y", F.when(w.lag(F.col("q_now"), -4).isNotNull() & F.col("sigma_hat").isNotNull(), F.col("y")))
+    member = memberships(x.select("root", "timestamp", "y", F.col("x1").alias("x")), spark.createDataFrame(X1_CENTRES, "id int, centre array<double>"), "x", TEMPERATURE)
+    seen = member.where(_seen() & F.col("y").isNotNull())
+    weights = seen.select("root", "timestamp", F.posexplode("weights").alias("region", "weight"))
+    return member, S.region_tables(weights, seen.select("root", "timestamp", F.col("y").alias("label")), ["root", "timestamp"], 5, REGION, BY_REGION)
+
+
+def frozen_forecasts(spark, d):
+    """Forecasts of the days after the twentieth by tables of the days before."""
+    member, (general, local) = frozen_parts(spark, d)
+    return rnd(S.region_forecasts(member.where(~_seen()), ["root", "timestamp"], general, local), ["probability"])
+
+
 def _points(n: str) -> str:
     probs = ", ".join(str(i / 100) for i in range(101))
     return f"""SELECT root, '{n}' AS name, v, CASE WHEN count(*) OVER (PARTITION BY root) = 1 THEN 0.5 ELSE (min(j) + max(j)) / 2 / 100.0 END AS p
@@ -176,4 +205,17 @@ SQL = {
         SELECT te.root, te.timestamp, te.leaf, accepted, lp.task, lp.label, round(coalesce(ls.p, lp.p), 6) + 0.0 AS probability FROM te JOIN lp USING (leaf) LEFT JOIN ls ON ls.leaf = te.leaf AND ls.root = te.root AND ls.task = lp.task AND ls.label = lp.label WHERE accepted
         UNION ALL SELECT te.root, te.timestamp, leaf, accepted, task, label, {_P} FROM te JOIN bg USING (root) WHERE NOT accepted""",
 }
-QUERIES = {f.__name__: f for f in (reference_maps, path_representation, state_splits, leaf_tables, leaf_cards, leaf_forecasts, fitted_states)}
+_FC = f"""{_RE}, fm AS (SELECT root, timestamp, CASE WHEN q_later IS NOT NULL AND sigma_hat IS NOT NULL THEN {_BIN('(q_later - q_now) / sqrt(greatest(sigma_hat ** 2 * 4, 1e-10))')} END AS y, [{', '.join(f'list_distance(x1, {c}::DOUBLE[])' for _, c in X1_CENTRES)}] AS ds FROM re),
+ws AS (SELECT root, timestamp, y, (unnest(range(3)))::INT AS region, unnest(list_transform(ds, lambda v: exp(-(v - list_min(ds)) / {TEMPERATURE}))) AS e FROM fm), wt AS (SELECT *, e / sum(e) OVER (PARTITION BY root, timestamp) AS w FROM ws),
+sn AS (SELECT * FROM wt WHERE day(timestamp) <= 20 AND y IS NOT NULL), lg AS (SELECT unnest(range(5))::INT AS label),
+bk AS (SELECT label, (count(region) + 1) / ((SELECT count(*) FROM sn WHERE region = 0) + 5) AS p FROM lg LEFT JOIN sn ON y = label AND region = 0 GROUP BY label),
+gn AS (SELECT t.region, bk.label, (coalesce(k.w, 0) + {REGION} * bk.p) / (t.w + {REGION}) AS p FROM (SELECT region, sum(w) AS w FROM sn GROUP BY region) t CROSS JOIN bk LEFT JOIN (SELECT region, y, sum(w) AS w FROM sn GROUP BY ALL) k ON k.region = t.region AND k.y = bk.label),
+lc AS (SELECT t.root, t.region, gn.label, (coalesce(k.w, 0) + {BY_REGION} * gn.p) / (t.w + {BY_REGION}) AS p FROM (SELECT root, region, sum(w) AS w FROM sn GROUP BY ALL) t JOIN gn USING (region)
+    LEFT JOIN (SELECT root, region, y, sum(w) AS w FROM sn GROUP BY ALL) k ON k.root = t.root AND k.region = t.region AND k.y = gn.label)"""
+_CF = {"trend_current": "(x2[1] + x2[2]) / 2", "trend_change_far": "x2[2] - x2[3]", "trend_change_near": "x2[2] - x2[6]", "flow_current": "x2[9]", "flow_change_far": "x2[9] - x2[10]", "flow_change_near": "x2[9] - x2[13]", "risk_current": "x2[16]"}
+_HR, _WK = "hour(timestamp) / 24.0", "((isodow(timestamp) - 1) + hour(timestamp) / 24.0) / 7"
+_CF |= {f"market_{g}": f"avg({_CF[f'{g}_current']}) OVER (PARTITION BY timestamp)" for g in GROUPS} | {f"clock_{n}_{k}": f"{k}(2 * pi() * {t})" for n, t in (("hour", _HR), ("week", _WK)) for k in ("sin", "cos")}
+_CF["log_past_variance"] = "ln(greatest(sigma_hat ** 2, 1e-10))"
+SQL["compact_features"] = f"WITH {_RE} SELECT root, timestamp, {', '.join(f'round(CASE WHEN sigma_hat IS NOT NULL OR {int(n != COMPACT[-1])} = 1 THEN {e} END, 5) + 0.0 AS {n}' for n, e in _CF.items())} FROM re"
+SQL["frozen_forecasts"] = f"WITH {_FC} SELECT wt.root, timestamp, label, round(sum(w * p), 6) + 0.0 AS probability FROM wt JOIN lc ON lc.root = wt.root AND lc.region = wt.region WHERE day(timestamp) > 20 GROUP BY ALL"
+QUERIES = {f.__name__: f for f in (compact_features, frozen_forecasts, reference_maps, path_representation, state_splits, leaf_tables, leaf_cards, leaf_forecasts, fitted_states)}

@@ -8,7 +8,6 @@ from quillon.functions.scalars import log
 from quillon.functions.windows import Bars
 from quillon.operators import prototypes as Q
 from quillon.operators import states as S
-from quillon.operators.relational import knn
 from quillon.plans.market import rnd
 from quillon.plans.sql import W, strict
 from quillon.plans.state import STATE, state
@@ -110,14 +109,6 @@ def kmeans_states(spark, d):
     return S.memberships(e, S.fit_centres(e, "embedding", 8), "embedding", 0.5).select("vec_id", "state", "distance")
 
 
-def neighbour_communities(spark, d):
-    e = _e(spark, d)
-    blocks = max(16, -(-e.count() // 8192))
-    near = knn(e, e, 16, blocks=blocks, query_blocks=blocks // 4)
-    found = S.communities(near.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b")), 5)
-    return e.select(F.col("vec_id").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
-
-
 def _split(spark, d):
     x = _labelled(spark, d).dropna(subset=["trend", "move"])
     early = F.dayofmonth("timestamp") <= 20
@@ -197,6 +188,6 @@ SQL = {
 }
 _ALL = (
     quantile_map, prototype_similarity, mid_rank_map, anchors, fitted_prototype, prototype_match, cosine_to_centre, state_assignment, soft_membership, state_distributions, soft_forecast, ridge_regression, walk_forward_ridge, kmeans_states,
-    neighbour_communities, forest_heads, boosted_regression, isotonic_gate,
+    forest_heads, boosted_regression, isotonic_gate,
 )
 QUERIES = {f.__name__: f for f in _ALL}

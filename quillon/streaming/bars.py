@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import safe_div
 from quillon.operators.bars import ticks
+from quillon.operators.policies import Holding, positions_of
 from quillon.operators.portfolio import hysteresis_step
 
 
@@ -56,3 +57,16 @@ def stream_thinned(events: DataFrame, gap_seconds: int) -> DataFrame:
         yield rows[keep][["root", "timestamp"]]
 
     return events.groupBy("root").applyInPandasWithState(step, "root string, timestamp timestamp", "last double", "append", "NoTimeout")
+
+
+def stream_positions(candidates: DataFrame, rules: Holding) -> DataFrame:
+    """Positions along a stream of candidates (root, timestamp, scores, signal, selected, strength) in time order: position, age and prototype of each key are the state."""
+    import pandas as pd
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        old = tuple(state.get) if state.exists else (0, 0, -1)
+        out, new = positions_of(pd.concat(frames).sort_values("timestamp"), old, rules)
+        state.update(tuple(int(x) for x in new))
+        yield out
+
+    return candidates.groupBy("root").applyInPandasWithState(step, "root string, timestamp timestamp, position int, age int, prototype int", "position int, age int, prototype int", "append", "NoTimeout")
