@@ -180,11 +180,11 @@ def session_variation(df: DataFrame, offsets: int = 5, least: int = 10) -> DataF
     return out.withColumns({"continuous_var": F.when(enough, F.least("rv", "bv")), "jump_var": F.when(enough & F.col("bv").isNotNull(), F.greatest(F.col("rv") - F.col("bv"), F.lit(0.0)))})
 
 
-def har_records(sessions: DataFrame) -> DataFrame:
+def har_records(sessions: DataFrame, week: int = 5, month: int = 22) -> DataFrame:
     """Daily, weekly and monthly log variance, jumps and negative returns, with the next session's log variance as target. No session is left out before the shift."""
     w = Bars("root", "session_id")
     c = F.when(F.col("continuous_var").isNotNull(), F.greatest("continuous_var", F.lit(2.2250738585072014e-308)))
-    return sessions.select("root", "session_id", log(c).alias("log_c"), log(w.mean(c, 5)).alias("log_c_w"), log(w.mean(c, 22)).alias("log_c_m"), F.log1p("jump_var").alias("log1p_j"), clip(F.col("session_ret"), high=0.0).alias("r_neg"), log(w.lag(c, -1)).alias("target_log_c"), w.lag(F.col("session_id"), -1).alias("target_session"))
+    return sessions.select("root", "session_id", log(c).alias("log_c"), log(w.mean(c, week)).alias("log_c_w"), log(w.mean(c, month)).alias("log_c_m"), F.log1p("jump_var").alias("log1p_j"), clip(F.col("session_ret"), high=0.0).alias("r_neg"), log(w.lag(c, -1)).alias("target_log_c"), w.lag(F.col("session_id"), -1).alias("target_session"))
 
 
 def finalize_sigma(df: DataFrame, keep: float = 0.97, theta: float = 0.4, low: float = 0.5, high: float = 2.5) -> DataFrame:

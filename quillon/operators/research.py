@@ -97,78 +97,6 @@ def medoids(df: DataFrame, state: str, distance: str, key: list[str]) -> DataFra
     return df.groupBy(state).agg(F.min(best).alias("q_b"), F.count("*").alias("members")).select(state, "members", *[F.col(f"q_b.{k}").alias(k) for k in key], F.col(f"q_b.{distance}").alias(distance))
 
 
-def lowess(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Local linear fits with tricube weights over the nearest share of points."""
-    k = max(int(np.ceil(share * len(x))), 3)
-    out = np.empty(len(x))
-    for i, x0 in enumerate(x):
-        d = np.abs(x - x0)
-        h = np.partition(d, min(k, len(x)) - 1)[min(k, len(x)) - 1] or 1.0
-        w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
-        m = (w @ x) / w.sum()
-        v = w @ (x - m) ** 2
-        slope = (w @ ((x - m) * y)) / v if v > 1e-12 else 0.0
-        out[i] = (w @ y) / w.sum() + slope * (x0 - m)
-    return out
-
-
-def seasonality(df: DataFrame, every: int = 5, first: int = 10, share: float = 0.3, low: float = 0.4, high: float = 2.5) -> DataFrame:
-    """root, session_no, slot, seas: the shape of volatility over the day, refitted every few sessions from the sessions before.
-
-    df: root, session_no (from 0), slot, abs_z. Medians by slot are one aggregate over rows exploded to the refits they serve; the smoothing is a grouped map over at most a day's slots.
-    """
-    last = df.agg(F.max("session_no")).first()[0] or 0
-    refits = F.array(*[F.lit(k) for k in range(first, last + 2, every)]) if last + 2 > first else F.array().cast("array<int>")
-    x = df.where("abs_z IS NOT NULL").select("root", "slot", "abs_z", "session_no", F.explode(refits).alias("refit")).where("session_no < refit")
-    curve = x.groupBy("root", "refit", "slot").agg(F.percentile("abs_z", 0.5).alias("m"))
-
-    def smooth(pdf):
-        pdf = pdf.sort_values("slot")
-        y = pdf["m"].to_numpy(float)
-        wide = np.array([np.median(y[max(0, i - 2) : i + 3]) for i in range(len(y))])
-        fit = np.maximum(lowess(pdf["slot"].to_numpy(float), wide, share), 1e-12)
-        fit = np.clip(fit / fit.mean(), low, high)
-        return pdf[["root", "refit", "slot"]].assign(seas=fit / np.sqrt((fit**2).mean()))
-
-    return curve.groupBy("root", "refit").applyInPandas(smooth, "root string, refit int, slot int, seas double")
-
-
-def constrained_fit(x: np.ndarray, y: np.ndarray, low: np.ndarray, high: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Least squares within bounds, by cyclic coordinate descent on the normal equations."""
-    a, b = x.T @ x + 1e-9 * np.eye(x.shape[1]), x.T @ y
-    beta = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        before = beta.copy()
-        for j in range(len(beta)):
-            beta[j] = min(max((b[j] - a[j] @ beta + a[j, j] * beta[j]) / a[j, j], low[j]), high[j])
-        if abs(beta - before).max() < 1e-10:
-            break
-    return beta
-
-
-def har_forecast(records: DataFrame, least: int = 10) -> DataFrame:
-    """root, session_id, har_log_var: expanding forecasts of a session's log variance from what the sessions before say, with non-negative weights on variances and jumps and a non-positive one
-    on negative returns; the last known value until enough sessions are there. One small series an instrument."""
-    names = ["log_c", "log_c_w", "log_c_m", "log1p_j", "r_neg"]
-
-    def run(pdf):
-        pdf = pdf.sort_values("session_id").reset_index(drop=True)
-        x, y = pdf[names].to_numpy(float), pdf["target_log_c"].to_numpy(float)
-        out = np.full(len(pdf), np.nan)
-        for i in range(len(pdf)):
-            known = np.isfinite(x[:i]).all(axis=1) & np.isfinite(y[:i]) if i else np.zeros(0, bool)
-            if np.isfinite(x[i]).all() and known.sum() >= least:
-                a, t = x[:i][known], y[:i][known]
-                m, s = a.mean(axis=0), np.maximum(a.std(axis=0), 1e-9)
-                beta = constrained_fit(np.column_stack(((a - m) / s, np.ones(len(a)))), t, np.array([0, 0, 0, 0, -np.inf, -np.inf]), np.array([np.inf] * 4 + [0, np.inf]))
-                out[i] = np.append((x[i] - m) / s, 1) @ beta
-            elif np.isfinite(x[i, 0]):
-                out[i] = x[i, 0]
-        return pdf[["root", "session_id"]].assign(har_log_var=out)
-
-    return records.where("target_session IS NOT NULL").select("root", F.col("target_session").alias("session_id"), *names, "target_log_c").groupBy("root").applyInPandas(run, "root string, session_id date, har_log_var double").withColumn("har_log_var", F.when(~F.isnan("har_log_var"), F.col("har_log_var")))
-
-
 def shrunk_correlations(daily: DataFrame, names: list[str], window: int = 60, halflife: float = 20.0, least: int = 5) -> DataFrame:
     """day, a, b, corr: exponentially weighted correlations of the days before, shrunk towards the identity by the Ledoit-Wolf intensity.
 

@@ -95,15 +95,6 @@ def feature_audit(spark, d):
     return rnd(R.feature_audit(x, [*COORDS, "twin"]), ["available"])
 
 
-def seasonality(spark, d):
-    x = state(spark, d).select("root", F.datediff("session_id", F.lit("2024-01-01").cast("date")).alias("session_no"), F.hour("timestamp").alias("slot"), F.abs(F.col("ret") / F.col("sigma_hat")).alias("abs_z"))
-    return R.seasonality(x)
-
-
-def har_forecast(spark, d):
-    return R.har_forecast(M.har_records(_daily(spark, d)))
-
-
 def shrunk_correlations(spark, d):
     roots = ["click", "error", "purchase", "signup", "view"]
     daily = B.bars_of(spark, d).groupBy(F.col("session_id").alias("day")).pivot("root", roots).agg(F.ln(F.max_by("close", "timestamp") / F.min_by("open", "timestamp")))
@@ -186,7 +177,7 @@ SQL["shuffled_backtests"] = f"""WITH RECURSIVE {SIG}, nb AS (SELECT *, direction
     mv AS (SELECT a.root || '#' || a.draw AS root, a.timestamp, a.session_id, a.local_symbol, a.ret, a.is_valid, a.bar_in_session, a.volume, a.wap, a.close, b.t0 AS target FROM dw a JOIN nb b ON b.root = a.root AND b.i = (a.i + floor({_U(f"'{SEED}'", 'a.root', 'a.draw')} * a.n)::BIGINT) % a.n),
     {backtest_ctes('mv')} SELECT split_part(root, '#', 2)::INT AS draw, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover FROM bt GROUP BY ALL"""
 _ALL = (
-    path_labels, regimes, market_residuals, past_betas, trailing_thresholds, day_shift_null, stratified_null, attributions, parameter_surface, dual_snapshots, state_medoids, ranked_scores, feature_audit, seasonality, har_forecast, shrunk_correlations,
+    path_labels, regimes, market_residuals, past_betas, trailing_thresholds, day_shift_null, stratified_null, attributions, parameter_surface, dual_snapshots, state_medoids, ranked_scores, feature_audit, shrunk_correlations,
     certified_stumps, whitening, shuffled_backtests,
 )
 QUERIES = {f.__name__: f for f in _ALL}
