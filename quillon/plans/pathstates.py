@@ -11,6 +11,7 @@ from quillon.operators.states import fit_centres, memberships
 from quillon.plans.market import rnd
 from quillon.plans.prototypes import _CO, EDGES, coordinates
 from quillon.plans.sql import W, lag
+from quillon.sources.lineage import cut
 
 GROUPS = {"trend": ["move", "trend"], "flow": ["activity"], "risk": ["sigma_hat"]}
 PATHS = {"trend": ["trend"], "flow": ["activity"]}
@@ -111,12 +112,17 @@ def compact_features(spark, d):
 COMPACT = [f"{g}_{k}" for g in GROUPS for k in ("current", "change_far", "change_near") if k == "current" or g in PATHS] + [f"market_{g}" for g in GROUPS] + [f"clock_{n}_{k}" for n in ("hour", "week") for k in ("sin", "cos")] + ["log_past_variance"]
 
 
-def frozen_parts(spark, d):
-    """Memberships of all bars, and the label shares of the first twenty days."""
+def memberships_of(spark, d):
+    """Memberships of all bars in the given states of x1, with the label y of the next four hours."""
     w = Bars("root", "timestamp")
     x = _represented(spark, d).withColumn("y", digitize((F.col("q_later") - F.col("q_now")) / F.sqrt(F.greatest(F.pow("sigma_hat", F.lit(2.0)) * 4, F.lit(1e-10))), EDGES))
     x = x.withColumn("y", F.when(w.lag(F.col("q_now"), -4).isNotNull() & F.col("sigma_hat").isNotNull(), F.col("y")))
-    member = memberships(x.select("root", "timestamp", "y", F.col("x1").alias("x")), spark.createDataFrame(X1_CENTRES, "id int, centre array<double>"), "x", TEMPERATURE)
+    return memberships(x.select("root", "timestamp", "y", F.col("x1").alias("x")), spark.createDataFrame(X1_CENTRES, "id int, centre array<double>"), "x", TEMPERATURE)
+
+
+def frozen_parts(spark, d):
+    """Memberships of all bars, and the label shares of the first twenty days."""
+    member = cut(memberships_of(spark, d))
     seen = member.where(_seen() & F.col("y").isNotNull())
     weights = seen.select("root", "timestamp", F.posexplode("weights").alias("region", "weight"))
     return member, S.region_tables(weights, seen.select("root", "timestamp", F.col("y").alias("label")), ["root", "timestamp"], 5, REGION, BY_REGION)
