@@ -37,16 +37,33 @@ def leave_one_out(triggers: DataFrame, outcome: str) -> DataFrame:
     return x.select(F.col("root").alias("holdout_root"), mean.alias("holdout_mean"), rest.alias("development_mean"), full.alias("full_mean"), F.when(full > 0, mean / full).alias("loi_ratio"))
 
 
-def gate_table(triggers: DataFrame, detector: str, outcome: str, net: str, least: int, least_root: int, least_positive: int = 2) -> DataFrame:
-    """One row a detector: triggers, instruments with a positive mean, share of the ten fullest sessions, and the gates on numbers, signs and costs."""
-    root = triggers.groupBy(detector, "root").agg(F.count("*").alias("n"), F.avg(outcome).alias("m")).groupBy(detector).agg(F.min("n").alias("least_root"), F.count_if(F.col("m") > 0).alias("positive_roots"))
+def gate_table(triggers: DataFrame, detector: str, outcome: str, net: str, roots: list[str], nulls: DataFrame, stability: DataFrame, least: int, least_root: int, least_positive: int = 2, single: dict[str, str] | None = None, least_stability: float = 0.6,
+               least_percentile: float = 0.95) -> DataFrame:
+    """One row a detector: triggers, least triggers and positive means among ``roots``, share of the ten fullest sessions, stability, null percentile, and the gates on them.
+
+    Every instrument of ``roots`` must have ``least_root`` triggers; one that has none has 0. A detector in ``single`` is judged by that one instrument's number (``least``) and mean alone. nulls: detector, draw, mean of
+    matched draws, of which ``least_percentile`` must be at or below the actual mean; stability: detector, stability (null counts as failed).
+    """
+    c, lone = F.col, single or {}
+    names = triggers.select(detector).distinct()
+    each = triggers.groupBy(detector, "root").agg(F.count("*").alias("n"), F.avg(outcome).alias("m"))
+    grid = names.withColumn("root", F.explode(F.array(*[F.lit(r) for r in roots]))).join(each, [detector, "root"], "left")
+    root = grid.groupBy(detector).agg(F.min(F.coalesce("n", F.lit(0))).alias("least_root"), F.count_if(c("m") > 0).alias("positive_roots"))
+    one = F.create_map(*[F.lit(v) for kv in lone.items() for v in kv]) if lone else F.lit(None)
+    own = each.where(c("root") == one[c(detector)]).select(detector, c("n").alias("q_n"), c("m").alias("q_m")) if lone else names.select(detector, F.lit(None).cast("long").alias("q_n"), F.lit(None).cast("double").alias("q_m"))
     session = triggers.groupBy(detector, "session_id").agg(F.count("*").alias("n"))
     first = F.row_number().over(W.partitionBy(detector).orderBy(F.desc("n"), "session_id"))
-    top = session.withColumn("r", first).groupBy(detector).agg(F.sum(F.when(F.col("r") <= 10, F.col("n")).otherwise(0)).alias("q_top"))
-    x = triggers.groupBy(detector).agg(F.count("*").alias("triggers"), F.avg(outcome).alias("mean_z"), F.avg(net).alias("mean_net")).join(root, detector).join(top, detector)
-    gates = {"trigger_gate": (F.col("triggers") >= least) & (F.col("least_root") >= least_root), "sign_gate": F.col("positive_roots") >= least_positive, "net_gate": F.col("mean_net") > 0}
-    x = x.withColumns(gates | {"top10_session_share": F.col("q_top") / F.col("triggers")})
-    return x.withColumn("passed", F.col("trigger_gate") & F.col("sign_gate") & F.col("net_gate")).drop("q_top")
+    top = session.withColumn("r", first).groupBy(detector).agg(F.sum(F.when(c("r") <= 10, c("n")).otherwise(0)).alias("q_top"))
+    x = triggers.groupBy(detector).agg(F.count("*").alias("triggers"), F.avg(outcome).alias("mean_z"), F.avg(net).alias("mean_net")).join(root, detector).join(top, detector).join(own, detector, "left")
+    below = nulls.join(x.select(detector, c("mean_z").alias("q_z")), detector).groupBy(detector).agg(F.avg((c("mean") <= c("q_z")).cast("double")).alias("null_percentile"))
+    x = x.join(below, detector, "left").join(stability.select(detector, "stability"), detector, "left")
+    alone = c(detector).isin(*lone) if lone else F.lit(False)
+    gates = {
+        "trigger_gate": F.when(alone, F.coalesce("q_n", F.lit(0)) >= least).otherwise((c("triggers") >= least) & (c("least_root") >= least_root)), "sign_gate": F.when(alone, true(c("q_m") > 0)).otherwise(c("positive_roots") >= least_positive),
+        "stability_gate": true(c("stability") >= least_stability), "null_gate": true(c("null_percentile") >= least_percentile), "net_gate": true(c("mean_net") > 0),
+    }
+    x = x.withColumns(gates | {"top10_session_share": c("q_top") / c("triggers")})
+    return x.withColumn("passed", c("trigger_gate") & c("sign_gate") & c("stability_gate") & c("null_gate") & c("net_gate")).drop("q_top", "q_n", "q_m")
 
 
 def block_sums(daily: DataFrame, values: list[str], day: str, block: int, draws: int, seed: int) -> DataFrame:

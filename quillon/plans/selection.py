@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions.windows import Bars
@@ -14,9 +17,11 @@ from quillon.plans.evaluation import _R, _U, SEED, SIG, daily_outcome, signals,
 from quillon.plans.market import rnd
 from quillon.plans.prototypes import _CO, _DI, _SH, _WE, _e, _labelled, _member, coordinates, shares
 from quillon.plans.sql import W, lag, strict
-from quillon.plans.state import STATE, state
+from quillon.plans.state import ROOTS, STATE, state
 from quillon.sources.lineage import cut
 
+BONUS = 0.02
+
 
 def path_changes(spark, d):
     x = C.add_path(coordinates(spark, d).select("root", "timestamp", "activity", "trend"), ["activity", "trend"], 16)
@@ -31,8 +36,10 @@ def annual_bootstrap(spark, d):
 
 
 def selected_candidate(spark, d):
-    x = T.plateau(T.walk_forward(E._grid(spark, d), ["a", "b"], "signed_raw", 20), ["a", "b"])
-    return rnd(C.select_candidate(x, "base_pass", ["a", "b"]).select("a", "b", "triggers", "median_fold_net"), ["median_fold_net"])
+    """The reversal with a bonus of 0.02, so that some candidates of the grid stand on a plateau and some don't."""
+    grid = E._grid(spark, d).withColumn("signed_raw", F.col("signed_raw") + BONUS)
+    x = T.plateau(T.walk_forward(grid, ["a", "b"], "signed_raw", 20), ["a", "b"])
+    return rnd(C.select_candidate(x, "robust_pass", ["a", "b"]).select("a", "b", "triggers", "median_fold_net"), ["median_fold_net"])
 
 
 def leave_one_out(spark, d):
@@ -41,8 +48,17 @@ def leave_one_out(spark, d):
 
 
 def gate_table(spark, d):
-    x = triggers(spark, d).withColumns({"side": F.when(F.col("direction") > 0, "long").otherwise("short"), "net": F.col("signed_raw") - 0.001})
-    return rnd(C.gate_table(x, "side", "signed_z", "net", 100, 10), ["mean_z", "mean_net", "top10_session_share"])
+    """Both sides, the long side without one instrument (which then has no triggers), and a detector that one instrument judges."""
+    x = signals(spark, d).where("outcome IS NOT NULL")
+    up, down = F.col("direction") > 0, F.col("direction") < 0
+    masks = {"long": up, "short": down, "partial": up & (F.col("root") != "click"), "follower": up & (F.col("root") == "view")}
+    own = x.withColumn("side", F.explode(F.array(*[F.when(m, n) for n, m in masks.items()]))).where("side IS NOT NULL")
+    own = cut(own.withColumns({"signed_z": F.col("direction") * F.col("outcome"), "net": F.col("direction") * F.col("raw") - 0.001}))
+    draws = [T.shifted_null(x.withColumn("direction", F.when(m, F.col("direction")).otherwise(0)), ["root", "session_phase"], ["timestamp"], "direction", "outcome", 50, SEED).withColumn("side", F.lit(n)) for n, m in masks.items()]
+    strong = [F.avg(F.when(F.abs("x") >= k, F.col("signed_z"))) > 0 for k in (1.0, 1.1, 1.2, 1.3, 1.4)]
+    steady = own.groupBy("side").agg((sum((s.cast("double") for s in strong), F.lit(0.0)) / len(strong)).alias("stability"))
+    out = C.gate_table(own, "side", "signed_z", "net", ROOTS, reduce(DataFrame.unionByName, draws), steady, 100, 10, 2, {"follower": "view"}, 0.6, 0.5)
+    return rnd(out, ["mean_z", "mean_net", "top10_session_share", "stability", "null_percentile"])
 
 
 def paired_interval(spark, d):
@@ -147,14 +163,23 @@ SQL = {
         q AS (SELECT draw, i, n, last_value(CASE WHEN re THEN i END IGNORE NULLS) OVER w AS i0, last_value(CASE WHEN re THEN fresh END IGNORE NULLS) OVER w AS f0 FROM r WINDOW w AS (PARTITION BY draw ORDER BY i)),
         m AS (SELECT draw, avg(net) AS mean, stddev_samp(net) AS sd FROM q JOIN b ON b.i = (f0 + q.i - i0) % q.n GROUP BY draw)
         SELECT draw::INT AS draw, round(exp(mean * 252) - 1, 5) + 0.0 AS annualized_return, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(252) END, 5) + 0.0 AS sharpe FROM m""",
-    "selected_candidate": E.SQL["walk_forward"].rsplit("SELECT a, b, triggers, positive_roots", 1)[0] + "SELECT a, b, triggers, round(median_fold_net, 6) + 0.0 AS median_fold_net FROM fi WHERE base_pass ORDER BY fi.median_fold_net DESC, fi.positive_fold_rate DESC, fi.worst_root_net DESC, a, b LIMIT 1",
+    "selected_candidate": E.SQL["walk_forward"].replace("fold, signed_raw, a, b FROM tr", f"fold, signed_raw + {BONUS} AS signed_raw, a, b FROM tr").rsplit("SELECT a, b, triggers, positive_roots", 1)[0]
+    + "SELECT a, b, triggers, round(median_fold_net, 6) + 0.0 AS median_fold_net FROM fi WHERE base_pass AND neighbor_count >= 2 AND plateau_rate >= 0.5 ORDER BY fi.median_fold_net DESC, fi.positive_fold_rate DESC, fi.worst_root_net DESC, a, b LIMIT 1",
     "leave_one_out": f"""WITH {SIG}, a AS (SELECT sum(signed_z) AS s, count(signed_z) AS n FROM tr), r AS (SELECT root, sum(signed_z) AS rs, count(signed_z) AS rn FROM tr GROUP BY root)
         SELECT root AS holdout_root, round(rs / rn, 6) + 0.0 AS holdout_mean, round((s - rs) / nullif(n - rn, 0), 6) + 0.0 AS development_mean, round(s / n, 6) + 0.0 AS full_mean, round(CASE WHEN s / n > 0 THEN rs / rn / (s / n) END, 6) + 0.0 AS loi_ratio FROM r, a""",
-    "gate_table": f"""WITH {SIG}, x AS (SELECT *, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side FROM tr), r AS (SELECT side, min(n) AS least_root, count(*) FILTER (m > 0) AS positive_roots FROM (SELECT side, root, count(*) AS n, avg(signed_z) AS m FROM x GROUP BY ALL) GROUP BY side),
-        t AS (SELECT side, sum(n) AS top FROM (SELECT side, count(*) AS n FROM x GROUP BY side, session_id QUALIFY row_number() OVER (PARTITION BY side ORDER BY count(*) DESC, session_id) <= 10) GROUP BY side),
-        a AS (SELECT side, count(*) AS triggers, avg(signed_z) AS mean_z, avg(signed_raw - 0.001) AS mean_net FROM x GROUP BY side)
-        SELECT side, triggers, {_R('mean_z')}, {_R('mean_net')}, least_root, positive_roots, triggers >= 100 AND least_root >= 10 AS trigger_gate, positive_roots >= 2 AS sign_gate, mean_net > 0 AS net_gate, round(top / triggers, 6) + 0.0 AS top10_session_share,
-               triggers >= 100 AND least_root >= 10 AND positive_roots >= 2 AND mean_net > 0 AS passed FROM a JOIN r USING (side) JOIN t USING (side)""",
+    "gate_table": f"""WITH {SIG}, si AS (SELECT unnest(['long', 'short', 'partial', 'follower']) AS side), ds AS (SELECT sg.*, side, direction * outcome AS signed_z, direction * raw - 0.001 AS net FROM sg, si WHERE outcome IS NOT NULL AND
+            CASE side WHEN 'long' THEN direction > 0 WHEN 'short' THEN direction < 0 WHEN 'partial' THEN direction > 0 AND root <> 'click' ELSE direction > 0 AND root = 'view' END),
+        b AS (SELECT root, session_phase, timestamp, direction, outcome, row_number() OVER (PARTITION BY root, session_phase ORDER BY timestamp) - 1 AS i, count(*) OVER (PARTITION BY root, session_phase) AS n FROM sg WHERE outcome IS NOT NULL),
+        t AS (SELECT b.*, side, unnest(range(50)) AS draw FROM b JOIN (SELECT root, timestamp, side FROM ds) USING (root, timestamp)), m AS (SELECT t.root, t.session_phase, side, draw, direction, (i + floor({_U("'11'", 't.root', 't.session_phase', 'draw')} * n)::BIGINT) % n AS j FROM t),
+        nl AS (SELECT side, m.draw, avg(m.direction * b.outcome) AS mean FROM m JOIN b ON b.root = m.root AND b.session_phase = m.session_phase AND b.i = m.j GROUP BY ALL),
+        r AS (SELECT side, min(n) AS least_root, count(*) FILTER (m > 0) AS positive_roots FROM (SELECT si.side, ro.root, count(ds.root) AS n, avg(signed_z) AS m FROM si CROSS JOIN (SELECT DISTINCT root FROM sg) ro LEFT JOIN ds ON ds.side = si.side AND ds.root = ro.root GROUP BY ALL) GROUP BY side),
+        tp AS (SELECT side, sum(n) AS top FROM (SELECT side, count(*) AS n FROM ds GROUP BY side, session_id QUALIFY row_number() OVER (PARTITION BY side ORDER BY count(*) DESC, session_id) <= 10) GROUP BY side),
+        a AS (SELECT side, count(*) AS triggers, avg(signed_z) AS mean_z, avg(net) AS mean_net, count(*) FILTER (root = 'view') AS nv, avg(signed_z) FILTER (root = 'view') AS mv, ({' + '.join(f"(avg(signed_z) FILTER (abs(x) >= {k}) > 0)::INT" for k in (1.0, 1.1, 1.2, 1.3, 1.4))}) / 5 AS stability FROM ds GROUP BY side),
+        p AS (SELECT side, avg((mean <= mean_z)::INT) AS null_percentile FROM nl JOIN a USING (side) GROUP BY side),
+        g AS (SELECT *, CASE WHEN side = 'follower' THEN nv >= 100 ELSE triggers >= 100 AND least_root >= 10 END AS trigger_gate, CASE WHEN side = 'follower' THEN mv > 0 ELSE positive_roots >= 2 END AS sign_gate, stability >= 0.6 AS stability_gate, null_percentile >= 0.5 AS null_gate, mean_net > 0 AS net_gate
+              FROM a JOIN r USING (side) JOIN tp USING (side) JOIN p USING (side))
+        SELECT side, triggers, {_R('mean_z')}, {_R('mean_net')}, least_root, positive_roots, {_R('null_percentile')}, {_R('stability')}, trigger_gate, sign_gate, stability_gate, null_gate, net_gate, round(top / triggers, 6) + 0.0 AS top10_session_share,
+               trigger_gate AND sign_gate AND stability_gate AND null_gate AND net_gate AS passed FROM g""",
     "paired_interval": f"""WITH {SIG}, da AS (SELECT timestamp::DATE AS day, avg((1 / (1 + exp(-0.3 * x)) - (raw > 0)::INT) ** 2) - 0.25 AS d FROM sg WHERE x IS NOT NULL AND raw IS NOT NULL GROUP BY ALL), {_DAYS(200)},
         m AS (SELECT draw, avg(d) AS m FROM pk JOIN nd USING (i) GROUP BY draw) SELECT round((SELECT avg(d) FROM da), 6) + 0.0 AS mean, round(quantile_cont(m, 0.025), 6) + 0.0 AS low, round(quantile_cont(m, 0.975), 6) + 0.0 AS high FROM m""",
     "state_intervals": f"""WITH {_LAB}, da AS (SELECT DISTINCT day FROM lb), {_DAYS(200)}, ds AS (SELECT state, day, sum(value) AS s, count(value) AS c FROM lb GROUP BY ALL),
