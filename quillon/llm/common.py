@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,16 +38,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where it is unset we set one: a temporary folder if the whole of Spark runs on this machine, else a folder in the warehouse.
-    """
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset we set one, in the warehouse."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        local = re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", sc.master)
-        own = tempfile.mkdtemp(prefix="quillon-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillon-checkpoints"
-        sc.setCheckpointDir(told or own)
+        sc.setCheckpointDir(told or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/quillon-checkpoints")
     return told or sc.getCheckpointDir()
 
 
