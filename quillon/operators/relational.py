@@ -70,10 +70,17 @@ def knn(queries: DataFrame, base: DataFrame, k: int, group: str | None = None, b
             if group:
                 banned |= part[f"a_{group}"].to_numpy()[:, None] == b[group].to_numpy()
             d[banned] = np.inf
-            for q, row in zip(part["a_vec_id"], d):
-                best = np.lexsort((ids, np.round(row, 9)))[:k]
-                best = best[np.isfinite(row[best])]
-                out.append(pd.DataFrame({"query_id": q, "vec_id": ids[best], "distance": np.sqrt(row[best])}))
+            d = np.round(d, 9)
+            if d.shape[1] > k:  # all at or below the k-th distance, of which ties are resolved
+                near = np.where(d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k], d, np.inf)
+            else:
+                near = d
+            at, col = np.nonzero(np.isfinite(near))
+            order = np.lexsort((ids[col], near[at, col], at))
+            at, col = at[order], col[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            at, col = at[place < k], col[place < k]
+            out.append(pd.DataFrame({"query_id": part["a_vec_id"].to_numpy()[at], "vec_id": ids[col], "distance": np.sqrt(d[at, col])}))
         return pd.concat(out)
 
     cols = ["vec_id", "embedding", *extra]

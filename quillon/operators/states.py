@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions.scalars import digitize, safe_div
-from quillon.sources.lineage import cut
+from quillon.sources.lineage import cut, numbered_rows
 
 
 def centres_of(df: DataFrame, label: str, vector: str) -> DataFrame:
@@ -140,13 +140,13 @@ def tree_heads(train: DataFrame, test: DataFrame, features: list[str], label: st
 
 
 def isotonic_curve(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """Equal-count bins of x with means and their weighted isotonic fit (MLlib)."""
+    """Equal-count bins of x with means and their weighted isotonic fit (MLlib). Ranks are numbers in sorted ranges."""
     from pyspark.ml.regression import IsotonicRegression
 
     from quillon.functions.windows import equal_bins
 
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"q_r": F.row_number().over(W.orderBy(x, y)), "q_n": F.count("*").over(W.partitionBy())})
-    curve = r.groupBy(equal_bins(F.col("q_r"), F.col("q_n"), bins).cast("int").alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").cast("double").alias("n"))
+    r, n = numbered_rows(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y), [x, y], "q_r")
+    curve = r.groupBy(equal_bins(F.col("q_r") + 1, F.lit(n), bins).cast("int").alias("bin")).agg(F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").cast("double").alias("n"))
     model = IsotonicRegression(featuresCol="mean_x", labelCol="mean_y", weightCol="n").fit(curve)
     return model.transform(curve).withColumnRenamed("prediction", "isotonic")
 

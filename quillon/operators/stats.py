@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from quillon.functions.scalars import clip, cut, normal_cdf, normal_quantile, safe_div, uniform
 from quillon.functions.windows import Bars
+from quillon.sources.lineage import cut as kept
+from quillon.sources.lineage import numbered_rows
 
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
@@ -109,22 +111,19 @@ def decomposition(df: DataFrame, outcome: str, dimensions: list[str]) -> DataFra
     sets = [[], *[[d] for d in dimensions], *[list(p) for p in pairs]]
     # The overall variance rides along in the empty grouping.
     stats = data.groupingSets([[F.col(c) for c in s] for s in sets], *dimensions).agg(F.grouping_id().alias("g"), F.count(outcome).alias("n"), F.avg(outcome).alias("m"), F.var_samp(outcome).alias("v"))
-    # A row for each level and pair of levels of a few categories: taken once here, as filters on the grouping would otherwise be pushed below it and repeat the pass.
-    stats = df.sparkSession.createDataFrame(stats.collect(), stats.schema)
+    stats = kept(stats)  # a row for each level and pair of levels of a few categories; filters on the grouping would otherwise be pushed below it and repeat the pass
     bit = {d: 1 << (len(dimensions) - 1 - i) for i, d in enumerate(dimensions)}
     every = (1 << len(dimensions)) - 1
     whole = stats.where(F.col("g") == every).select(F.col("m").alias("mu0"), F.col("v").alias("sigma2"))
     label = lambda s: every - sum(bit[d] for d in s)
-    main = None
-    for d in dimensions:
-        part = stats.where(F.col("g") == label([d])).select(F.lit(d).alias("variables"), F.col(d).alias("level"), "n", "m")
-        main = part if main is None else main.unionByName(part)
+    # What each grouping stands for, by its number.
+    one = F.create_map(*[y for d in dimensions for y in (F.lit(label([d])).cast("long"), F.struct(F.lit(d).alias("v"), F.col(d).alias("l")))])[F.col("g")]
+    main = stats.withColumn("q", one).where("q IS NOT NULL").select(F.col("q.v").alias("variables"), F.col("q.l").alias("level"), "n", "m")
     main = beside(main, whole).withColumn("raw_effect", F.col("m") - F.col("mu0"))
-    both = None
-    for a, b in pairs:
-        part = stats.where(F.col("g") == label([a, b])).select(F.lit(f"{a}x{b}").alias("variables"), F.concat_ws("|", a, b).alias("level"), F.lit(a).alias("va"), F.col(a).alias("la"), F.lit(b).alias("vb"), F.col(b).alias("lb"), "n", "m")
-        both = part if both is None else both.unionByName(part)
-    effect = main.select(F.col("variables").alias("v"), F.col("level").alias("l"), F.col("raw_effect").alias("e"))
+    two = F.create_map(*[y for a, b in pairs for y in (F.lit(label([a, b])).cast("long"), F.struct(F.lit(a).alias("va"), F.col(a).alias("la"), F.lit(b).alias("vb"), F.col(b).alias("lb")))])[F.col("g")]
+    both = stats.withColumn("q", two).where("q IS NOT NULL").select("q.*", "n", "m")
+    both = both.withColumns({"variables": F.concat_ws("x", "va", "vb"), "level": F.concat_ws("|", "la", "lb")})
+    effect = kept(main.select(F.col("variables").alias("v"), F.col("level").alias("l"), F.col("raw_effect").alias("e")))
     both = beside(both, whole).join(effect.select(F.col("v").alias("va"), F.col("l").alias("la"), F.col("e").alias("ea")), ["va", "la"]).join(effect.select(F.col("v").alias("vb"), F.col("l").alias("lb"), F.col("e").alias("eb")), ["vb", "lb"])
     both = both.withColumn("raw_effect", F.col("m") - F.col("mu0") - F.col("ea") - F.col("eb"))
     cols = ["variables", "level", "n", "mu0", "sigma2", "raw_effect"]
@@ -190,20 +189,16 @@ def quality_weight(mean: Column, se: Column, cost: Column, reliability: Column,
 
 
 def purged_splits(df: DataFrame, order: list[str], splits: int = 4, train: float = 0.4, embargo: int = 96) -> DataFrame:
-    """(i, split, part): anchored training rows up to the embargo and the validation rows of each split. One row a timestamp is expected."""
-    x = df.withColumn("i", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
-    n = df.count()
+    """(i, split, part): anchored training rows up to the embargo and the validation rows of each split. One row a timestamp is expected; rows are numbered in sorted ranges."""
+    x, n = numbered_rows(df, order)
     first = -int(-n * train // 1)
     size = max((n - first) // splits, 1)
     spans = [(s, max(first + s * size - embargo, 0), first + s * size, n if s == splits - 1 else min(n, first + (s + 1) * size)) for s in range(splits)]
-    out = None
-    for s, stop, a, b in spans:
-        if stop == 0 or a >= b:
-            continue
-        i = F.col("i")
-        part = x.select("*", F.lit(s).alias("split"), F.when(i < stop, "train").when((i >= a) & (i < b), "validation").alias("part")).where("part IS NOT NULL")
-        out = part if out is None else out.unionByName(part)
-    return out
+    i = F.col("i")
+    parts = [F.struct(F.lit(s).alias("split"), F.when(i < stop, "train").when((i >= a) & (i < b), "validation").alias("part")) for s, stop, a, b in spans if stop > 0 and a < b]
+    if not parts:
+        return x.select("*", F.lit(None).cast("int").alias("split"), F.lit(None).cast("string").alias("part")).where(F.lit(False))
+    return x.select("*", F.explode(F.array(*parts)).alias("q")).where("q.part IS NOT NULL").select(*x.columns, "q.split", "q.part")
 
 
 def walk_forward(df: DataFrame, candidate: list[str], outcome: str, least: int = 150) -> DataFrame:

@@ -12,6 +12,7 @@ from quillon.operators import relational as R
 from quillon.plans.market import rnd
 from quillon.plans.sql import BARS, RETURNS
 from quillon.plans.sql import W as OVER
+from quillon.sources.lineage import numbered_rows
 
 
 def _t(spark, d, name):
@@ -152,7 +153,7 @@ def effective_count(spark, d):
 def lead_lag(spark, d):
     """Correlation of one instrument's moves with another's, for lags -10 to 10 on the complete-case grid."""
     wide = B.bars_of(spark, d).withColumn("m", F.col("close") - F.col("open")).groupBy("timestamp").pivot("root", ["click", "view"]).agg(F.first("m")).dropna()
-    numbered = wide.withColumn("i", F.row_number().over(W.orderBy("timestamp")))  # one row an hour
+    numbered, _ = numbered_rows(wide, ["timestamp"])
     moved = numbered.select(F.explode(F.sequence(F.lit(-10), F.lit(10))).alias("lag"), "i", "click").withColumn("i", F.col("i") + F.col("lag"))
     return rnd(moved.join(numbered.select("i", "view"), "i").groupBy("lag").agg(F.corr("click", "view").alias("correlation"), F.count("*").alias("n")), ["correlation"])
 
