@@ -5,7 +5,7 @@ What needs only the row before is a window. Policies that carry a decision are s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -175,21 +175,24 @@ def held_sign(df: DataFrame, by: list[str], order: list[str], value: str, enter:
 
 
 def thin_events(df: DataFrame, by: list[str], at: str, gap_seconds: int) -> DataFrame:
-    """The first event of each refractory gap, in time order: a fold over a key's event times that carries the last kept one."""
+    """The first event of each refractory gap, in time order. A key's distinct times, sorted, are jumped through by binary search, a step for each event that is kept; only times travel."""
+
+    def keep(pdf):
+        import numpy as np
+
+        t, i, kept = np.sort(pdf["q_at"].to_numpy()), 0, []
+        while i < len(t):
+            kept.append(i)
+            i = int(np.searchsorted(t, t[i] + gap_seconds))
+        return pdf[by].iloc[:1].loc[np.zeros(len(kept), int) + pdf.index[0]].reset_index(drop=True).assign(q_at=t[kept])
 
-    times = F.array_sort(F.collect_list(F.unix_timestamp(at)))
-    kept = F.aggregate(times, F.array().cast("array<bigint>"), lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap_seconds), F.concat(acc, F.array(t))).otherwise(acc))
-    found = df.groupBy(*by).agg(kept.alias("k")).select(*by, F.explode("k").alias("q_at"))
     marked = df.withColumn("q_at", F.unix_timestamp(at))
+    times = marked.select(*by, "q_at").where("q_at IS NOT NULL").distinct()
+    found = times.groupBy(*by).applyInPandas(keep, times.schema)
     first = F.row_number().over(W.partitionBy(*by, "q_at").orderBy(at))
     return marked.join(found, [*by, "q_at"]).withColumn("q_r", first).where("q_r = 1").drop("q_at", "q_r")
 
 
-def beta_pair(long_beta: float, short_beta: float) -> tuple[float, float]:
-    """Weights of gross one without exposure to the common factor."""
-    return short_beta / (long_beta + short_beta), -long_beta / (long_beta + short_beta)
-
-
 def best_pairs(scores: DataFrame) -> DataFrame:
     """For each time the ordered pair with the best forecast of the weights that would be held. scores: timestamp, root, score, beta of a few instruments; ties go to the first names."""
     a = scores.select("timestamp", F.col("root").alias("long"), F.col("score").alias("sa"), F.col("beta").alias("ba"))

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import log
 from quillon.functions.windows import Bars
 from quillon.operators import bars as B
-from quillon.operators import market as M
+
 from quillon.operators import relational as L
 from quillon.operators import research as R
 from quillon.operators.features import snapshots
-from quillon.plans.evaluation import _R, _U, SEED, SIG, _backtest, backtest_ctes, signals
+from quillon.plans.evaluation import _R, _U, SEED, SIG, backtest_ctes, signals
 from quillon.plans.market import rnd
 from quillon.plans.prototypes import _DI, _LB, COORDS, _labelled, _member, coordinates
 from quillon.plans.sql import BARS, W, strict
-from quillon.plans.state import _daily, state
+from quillon.plans.state import state
 
 
 def path_labels(spark, d):
