@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quillon.functions.scalars import log
 from quillon.functions.windows import Bars
 from quillon.operators import bars as B
-
 from quillon.operators import relational as L
 from quillon.operators import research as R
 from quillon.operators.features import snapshots
@@ -98,7 +97,7 @@ def feature_audit(spark, d):
 def shrunk_correlations(spark, d):
     roots = ["click", "error", "purchase", "signup", "view"]
     daily = B.bars_of(spark, d).groupBy(F.col("session_id").alias("day")).pivot("root", roots).agg(F.ln(F.max_by("close", "timestamp") / F.min_by("open", "timestamp")))
-    return R.shrunk_correlations(daily, roots, 20, 8.0)
+    return rnd(R.shrunk_correlations(daily, roots, 20, 8.0).withColumn("day", F.col("day").cast("string")), ["corr"])
 
 
 def certified_stumps(spark, d):
@@ -173,6 +172,13 @@ SQL["certified_stumps"] = f"""WITH {_LB}, x AS (SELECT state, (timestamp::DATE -
     s AS (SELECT state, feature, threshold, {_SUMS} FROM lg JOIN gr USING (state, feature) GROUP BY ALL), t AS (SELECT *, s_ll / nullif(n_ll, 0) AS ml, s_lr / nullif(n_lr, 0) AS mr, (s_ll + s_lr) / nullif(n_ll + n_lr, 0) AS m FROM s),
     u AS (SELECT *, n_ll * ml * ml + n_lr * mr * mr - (n_ll + n_lr) * m * m AS fit, {_SAVED} AS gain FROM t)
     SELECT state, feature, round(threshold, 6) + 0.0 AS threshold, round(gain, 6) + 0.0 AS gain FROM (SELECT * FROM u WHERE least(d_ll, d_lr) >= 3 AND fit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY state ORDER BY fit DESC, feature, threshold) = 1) WHERE gain > 0"""
+SQL["shrunk_correlations"] = f"""WITH {BARS}, dr AS (SELECT session_id AS day, root, ln(last(close ORDER BY timestamp) / first(open ORDER BY timestamp)) AS v FROM bars GROUP BY ALL), dx AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM dr)),
+    ok AS (SELECT day, i FROM dx JOIN dr USING (day) WHERE v IS NOT NULL GROUP BY day, i HAVING count(*) = 5), aw AS (SELECT n.day, n.i AS now, o.i, o.day AS past, pow(0.5, (n.i - o.i) / 8.0) AS e FROM dx n JOIN ok o ON o.i BETWEEN n.i - 20 AND n.i - 1),
+    wt AS (SELECT *, e / sum(e) OVER (PARTITION BY now) AS w, count(*) OVER (PARTITION BY now) AS k FROM aw), cv AS (SELECT wt.day, now, i, w, root, v - sum(w * v) OVER (PARTITION BY now, root) AS c FROM wt JOIN dr ON dr.day = past WHERE k >= 5),
+    pr AS (SELECT a.day, a.now, a.i, a.w, a.root AS a, b.root AS b, a.c * b.c AS p FROM cv a JOIN cv b ON a.now = b.now AND a.i = b.i), sm AS (SELECT *, sum(w * p) OVER (PARTITION BY now, a, b) AS s FROM pr),
+    st AS (SELECT day, now, a, b, any_value(s) AS s FROM sm GROUP BY ALL), mu AS (SELECT now, sum(s) FILTER (a = b) / 5 AS mu FROM st GROUP BY now), d2 AS (SELECT now, any_value(mu) AS mu, sum((s - CASE WHEN a = b THEN mu ELSE 0 END) ** 2) / 5 AS d2 FROM st JOIN mu USING (now) GROUP BY now),
+    b2 AS (SELECT now, sum(w ** 2 * (p - s) ** 2) / 5 AS b2 FROM sm GROUP BY now), sh AS (SELECT day, now, a, b, CASE WHEN d2 > 0 THEN least(b2, d2) / d2 ELSE 1 END * CASE WHEN a = b THEN mu ELSE 0 END + CASE WHEN d2 > 0 THEN (1 - least(b2, d2) / d2) * s ELSE 0 END AS s FROM st JOIN d2 USING (now) JOIN b2 USING (now))
+    SELECT x.day::VARCHAR AS day, x.a, x.b, round(x.s / sqrt(p.s * q.s), 6) + 0.0 AS corr FROM sh x JOIN sh p ON p.now = x.now AND p.a = x.a AND p.b = x.a JOIN sh q ON q.now = x.now AND q.a = x.b AND q.b = x.b"""
 SQL["shuffled_backtests"] = f"""WITH RECURSIVE {SIG}, nb AS (SELECT *, direction * magnitude AS t0, row_number() OVER ({W}) - 1 AS i, count(*) OVER (PARTITION BY root) AS n FROM sg), dw AS (SELECT *, unnest(range(5)) AS draw FROM nb),
     mv AS (SELECT a.root || '#' || a.draw AS root, a.timestamp, a.session_id, a.local_symbol, a.ret, a.is_valid, a.bar_in_session, a.volume, a.wap, a.close, b.t0 AS target FROM dw a JOIN nb b ON b.root = a.root AND b.i = (a.i + floor({_U(f"'{SEED}'", 'a.root', 'a.draw')} * a.n)::BIGINT) % a.n),
     {backtest_ctes('mv')} SELECT split_part(root, '#', 2)::INT AS draw, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover FROM bt GROUP BY ALL"""
