@@ -41,6 +41,13 @@ def newey_west_t(df: DataFrame, by: list[str], order: list[str], x: str, lags: i
     return out.select(*by, "n", F.when((F.col("n") >= max(10, lags + 2)) & (F.col("q_s") > 0), F.col("mean") / (F.sqrt("q_s") / F.col("n"))).alias("nw_t"))
 
 
+def full_card(df: DataFrame, by: list[str], order: list[str], z: str, raw: str, cost: Column, lags: int, block: float, draws: int, seed: int) -> DataFrame:
+    """``card`` with the t of autocorrelated outcomes, and the interval and t of stationary bootstrap means with blocks of ``block`` rows on average."""
+    drawn = interval(stationary_bootstrap(df, by, order, z, block, draws, seed), by)
+    x = card(df, by, z, raw, cost).join(newey_west_t(df, by, order, z, lags).drop("n"), by).join(drawn.select(*by, "ci_low", "ci_high", "se"), by)
+    return x.withColumn("stationary_t", safe_div(F.col("mean_z"), F.when(F.col("se") > 0, F.col("se")))).drop("se")
+
+
 def numbered(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds i (0, 1, ...) and n of each group."""
     return df.withColumn("i", Bars(by, order).number().cast("long")).withColumn("n", F.count("*").over(W.partitionBy(*by)))

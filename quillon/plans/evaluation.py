@@ -36,6 +36,11 @@ def stat_card(spark, d):
     return rnd(out, [c for c in out.columns if c not in ("root", "n")])
 
 
+def full_card(spark, d):
+    out = T.full_card(triggers(spark, d), ["root"], ["timestamp"], "signed_z", "signed_raw", F.lit(0.001), 4, 20.0, 40, SEED).drop("stationary_t")
+    return rnd(out, [c for c in out.columns if c not in ("root", "n")])
+
+
 def newey_west(spark, d):
     return rnd(T.newey_west_t(triggers(spark, d), ["root"], ["timestamp"], "signed_z", 4), ["nw_t"])
 
@@ -392,8 +397,9 @@ SQL |= {
     "holding_periods": f"""WITH RECURSIVE {_BT}, sd AS (SELECT root, timestamp, sign(position)::INT AS side, row_number() OVER ({W}) - row_number() OVER (PARTITION BY root, sign(position) ORDER BY timestamp) AS run FROM bt)
         SELECT root, side, count(*) AS bars, min(timestamp) AS opened FROM sd WHERE side <> 0 GROUP BY root, side, run""",
 }
+SQL["full_card"] = f"SELECT c.*, n.nw_t, b.ci_low, b.ci_high FROM ({SQL['stat_card']}) c JOIN ({SQL['newey_west']}) n USING (root) JOIN ({SQL['stationary_bootstrap']}) b USING (root)"
 _ALL = (
-    stat_card, newey_west, stationary_bootstrap, day_block_bootstrap, matched_null, null_percentile, categories, shrinkage, root_shrinkage, causal_posterior, economic_weight, purged_splits, walk_forward, drawdowns, performance, concentration,
+    stat_card, full_card, newey_west, stationary_bootstrap, day_block_bootstrap, matched_null, null_percentile, categories, shrinkage, root_shrinkage, causal_posterior, economic_weight, purged_splits, walk_forward, drawdowns, performance, concentration,
     calibration, calibration_scores, quantile_calibration, adjusted_rand, active_votes, dependence, fusion, sizing, weight_ledger, buy_and_hold, strategy_costs, held_sign, thinned_events, best_pairs, event_backtest, backtest_days, holding_periods, hash_draws,
 )
 QUERIES = {f.__name__: f for f in _ALL}

@@ -48,6 +48,12 @@ def fitted_prototype(spark, d):
     return rnd(Q.fit_prototype(Q.anchors(shares(spark, d), SEED, 0.05, 50), COORDS), ["centre", "width"])
 
 
+def weighted_prototype(spark, d):
+    mixed = shares(spark, d).withColumn("mix", (2 * F.col("move") + F.col("trend")) / 3)
+    out = Q.weighted_prototype(Q.anchors(mixed, SEED, 0.05, 50), mixed, {"path": ["move", "trend", "mix"], "flow": ["activity"]})
+    return rnd(out, ["centre", "width", "contrast", "redundancy"])
+
+
 def prototype_match(spark, d):
     c, width = {"move": 0.8, "activity": 0.6, "trend": 0.7}, {"move": 0.2, "activity": 0.3, "trend": 0.25}
     x = Q.group_distance(shares(spark, d), {"path": ["move", "trend"], "flow": ["activity"]}, c, width, {"path": 2.0, "flow": 1.0})
@@ -159,6 +165,10 @@ SQL = {
         trend IS NULL AS share_missing FROM co""",
     "anchors": f"WITH {_SH}, {_AN} SELECT root, timestamp, round(score, 6) + 0.0 AS score FROM an",
     "fitted_prototype": f"WITH {_SH}, {_AN} " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(quantile_cont({c}, 0.5), 6) + 0.0 AS centre, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) + 0.0 AS width FROM an" for c in COORDS),
+    "weighted_prototype": f"WITH {_SH}, {_AN}, am AS (SELECT *, (2 * move + trend) / 3 AS mix FROM an), sm AS (SELECT coalesce(move, 0.5) AS move, coalesce(trend, 0.5) AS trend, coalesce((2 * move + trend) / 3, 0.5) AS mix FROM sh), "
+    "rd AS (SELECT greatest(abs(corr(move, trend)) - 0.7, 0) AS mt, greatest(abs(corr(move, mix)) - 0.7, 0) AS mm, greatest(abs(corr(trend, mix)) - 0.7, 0) AS tm FROM sm), pc AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, '{g}' AS grp, quantile_cont({c}, 0.5) AS c, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS w, 1 / (1 + {r}) AS r FROM am, rd GROUP BY mt, mm, tm" for c, g, r in (("move", "path", "mt + mm"), ("trend", "path", "mt + tm"), ("mix", "path", "mm + tm"), ("activity", "flow", "0.0")))
+    + ") SELECT name, grp AS \"group\", round(c, 6) + 0.0 AS centre, round(greatest(0.07, w * 0.55), 6) + 0.0 AS width, round(0.25 + 2.5 * abs(c - 0.5), 6) + 0.0 AS contrast, round(r, 6) + 0.0 AS redundancy FROM pc",
     "prototype_match": f"""WITH {_SH}, l AS (SELECT root, timestamp, (((move - 0.8) / 0.2) ** 2 + ((trend - 0.7) / 0.25) ** 2) / 2 AS loss_path, ((activity - 0.6) / 0.3) ** 2 AS loss_flow FROM sh)
         SELECT root, timestamp, round(loss_path, 6) + 0.0 AS loss_path, round(loss_flow, 6) + 0.0 AS loss_flow, round(exp(-(2 * loss_path + loss_flow) / 3), 6) + 0.0 AS match FROM l""",
     "cosine_to_centre": f"WITH {_CE} SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], c), 5) + 0.0 AS cosine FROM embeddings JOIN ce ON id = label",
@@ -187,7 +197,7 @@ SQL = {
         SELECT root, 'move' AS name, round(ka, 6) + 0.0 AS coefficient FROM k UNION ALL SELECT root, 'activity', round(kb, 6) + 0.0 FROM k UNION ALL SELECT root, 'intercept', round(my - ka * ma - kb * mb, 6) + 0.0 FROM k""",
 }
 _ALL = (
-    quantile_map, prototype_similarity, mid_rank_map, anchors, fitted_prototype, prototype_match, cosine_to_centre, state_assignment, soft_membership, state_distributions, soft_forecast, ridge_regression, walk_forward_ridge, kmeans_states,
+    quantile_map, prototype_similarity, mid_rank_map, anchors, fitted_prototype, weighted_prototype, prototype_match, cosine_to_centre, state_assignment, soft_membership, state_distributions, soft_forecast, ridge_regression, walk_forward_ridge, kmeans_states,
     forest_heads, boosted_regression, isotonic_gate,
 )
 QUERIES = {f.__name__: f for f in _ALL}
