@@ -234,14 +234,17 @@ def test_entry_and_names(spark):
     assert e.entry(spark).count() > 0
 
 
-def test_communities_of_all_rows_at_a_fixed_point(spark, tmp_path):
+def test_communities_of_all_rows_at_a_fixed_point(spark):
+    from pyspark.sql import functions as F
+
+    from quillon.operators.relational import knn
     from quillon.operators.states import communities
-    from quillon.plans.prototypes import neighbour_communities
 
     rng = np.random.default_rng(5)
     vectors = rng.normal(size=(60, 8)) + 6 * np.eye(8)[np.arange(60) % 3]
-    spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {r.node: r.community for r in neighbour_communities(spark, str(tmp_path)).collect()}
+    e = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    near = knn(e, e, 16, blocks=3, query_blocks=2)
+    got = {r.node: r.community for r in communities(near.select(F.col("query_id").alias("a"), F.col("vec_id").alias("b")), 5).collect()}
     assert set(got) == set(range(60))
     d = ((vectors[:, None] - vectors) ** 2).sum(2)
     np.fill_diagonal(d, np.inf)
