@@ -258,3 +258,20 @@ def test_trie_of_empty_tables(spark):
     lone = trie(*rebuilt(ordered_turns(spark.createDataFrame([(1, 1, "user", "x", 0, 0)], TURNS)))).collect()  # 1's first turns are those of 0, which is absent
     h = zlib.crc32(b"1") % 9
     assert len(lone) == (1 if h else 2) and lone[0].n_convs == 1
+
+
+def test_sketches_of_similar_sets_stay_within_the_distance():
+    """Sets of similarity 0.8, from as few shingles as are pruned at all to very many."""
+    import numpy as np
+
+    from quillon.llm.near import DISTANCE, SHORT, sketch
+
+    g, most = np.random.default_rng(9), 0
+    for union in (SHORT, SHORT + 1, 20, 25, 60, 300, 5000):
+        for _ in range(200 if union < 1000 else 20):
+            x = g.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            lone = union - -(-4 * union // 5)
+            split = int(g.integers(0, lone + 1))
+            a, b = np.unique(np.delete(x, np.s_[:split])), np.unique(np.delete(x, np.s_[split:lone]))
+            most = max(most, int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()))
+    assert 20 < most <= DISTANCE
