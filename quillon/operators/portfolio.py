@@ -258,6 +258,18 @@ def daily_portfolio(backtest: DataFrame) -> DataFrame:
     return backtest.groupBy(F.to_date("timestamp").alias("day")).agg(F.sum("gross_return").alias("gross"), F.sum("cost").alias("cost"), F.sum("net_return").alias("net"), F.sum("turnover").alias("turnover"), F.count_if("executed").alias("fills"))
 
 
+def cost_measures(backtest: DataFrame, year: int = 252) -> DataFrame:
+    """One row: what the trades of a backtest cost against what they earn. Ratios are null where their base is not positive; the yearly volatility is that of daily net returns."""
+    days = daily_portfolio(backtest).agg((F.avg("turnover") * year).alias("annualized_turnover"), (F.stddev_samp("net") * year**0.5).alias("q_vol"))
+    x = backtest.agg(
+        F.sum("gross_return").alias("gross"), F.sum("cost").alias("total_cost"), F.count_if("executed").alias("executions"), F.sum("turnover").alias("q_t"), F.avg(F.col("volume_limited").cast("double")).alias("volume_limited_fraction"),
+        F.avg((F.col("position") != 0).cast("double")).alias("active_bar_fraction"), F.avg(F.when(F.col("turnover") > 0, F.col("turnover"))).alias("mean_trade_size"),
+    )
+    x = beside(x, days)
+    over = lambda base: F.col("total_cost") / F.when(F.col(base) > 0, F.col(base))
+    return x.select("gross", "total_cost", over("gross").alias("cost_to_gross"), "annualized_turnover", "executions", (over("q_t") * 1e4).alias("cost_per_turnover_bp"), over("q_vol").alias("cost_to_volatility"), "volume_limited_fraction", "active_bar_fraction", "mean_trade_size")
+
+
 def holding_periods(backtest: DataFrame) -> DataFrame:
     """Spells of one sign of the position: instrument, side, bars."""
     from quillon.functions.windows import runs

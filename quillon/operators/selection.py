@@ -29,6 +29,21 @@ def select_candidate(summary: DataFrame, passed: str, params: list[str]) -> Data
     return summary.where(passed).orderBy(*order, *params).limit(1)
 
 
+def day_reliability(events: DataFrame, by: list[str], value: str, time: str = "timestamp", full: int = 150, noise: float = 0.0005, faded: float = 0.2) -> DataFrame:
+    """by, mean, sem (of the daily means), recent (mean of the later half by the median time), events, days, reliability.
+
+    Reliability is the positive part of the mean over itself, its error and ``noise``, in proportion to the events below ``full``, and times ``faded`` where the recent mean isn't positive. It is 0 with one day, and never negative: bad evidence isn't turned round.
+    """
+    x = events.where(F.col(value).isNotNull()).withColumn("q_t", F.unix_micros(F.col(time).cast("timestamp_ltz")))
+    daily = x.groupBy(*by, F.to_date(time).alias("q_d")).agg(F.avg(value).alias("q_m")).groupBy(*by).agg((F.stddev_samp("q_m") / F.sqrt(F.count("*").cast("double"))).alias("sem"), F.count("*").alias("days"))
+    middle = x.groupBy(*by).agg(F.percentile("q_t", 0.5).alias("q_mid"), F.avg(value).alias("mean"), F.count("*").alias("events"))
+    recent = x.join(middle.select(*by, "q_mid"), by).where("q_t >= q_mid").groupBy(*by).agg(F.avg(value).alias("recent"))
+    out = middle.join(daily, by).join(recent, by)
+    base = F.greatest("mean", F.lit(0.0)) / (F.abs("mean") + F.col("sem") + noise) * F.least(F.lit(1.0), F.col("events") / full)
+    value_of = F.when(F.col("days") > 1, base * F.when(F.col("recent") <= 0, faded).otherwise(1.0)).otherwise(0.0)
+    return out.withColumn("sem", F.when(F.col("days") > 1, F.col("sem"))).withColumn("reliability", value_of).select(*by, "mean", "sem", "recent", "events", "days", "reliability")
+
+
 def leave_one_out(triggers: DataFrame, outcome: str) -> DataFrame:
     """For each instrument its mean, the mean of all others and the whole mean, and how much of the whole it keeps."""
     each = triggers.groupBy("root").agg(F.count(outcome).alias("n"), F.sum(outcome).alias("s"))

@@ -42,6 +42,16 @@ def selected_candidate(spark, d):
     return rnd(C.select_candidate(x, "robust_pass", ["a", "b"]).select("a", "b", "triggers", "median_fold_net"), ["median_fold_net"])
 
 
+def day_reliability(spark, d):
+    x = triggers(spark, d).withColumns({"side": F.when(F.col("direction") > 0, "long").otherwise("short"), "net": F.col("signed_raw") - 0.15})
+    return rnd(C.day_reliability(x, ["root", "side"], "net"), ["mean", "sem", "recent", "reliability"])
+
+
+def cost_measures(spark, d):
+    out = P.cost_measures(cut(E._backtest(spark, d)))
+    return rnd(out, [c for c in out.columns if c != "executions"], 5)
+
+
 def leave_one_out(spark, d):
     names = ["holdout_mean", "development_mean", "full_mean", "loi_ratio"]
     return rnd(C.leave_one_out(triggers(spark, d), "signed_z"), names)
@@ -165,6 +175,16 @@ SQL = {
         SELECT draw::INT AS draw, round(exp(mean * 252) - 1, 5) + 0.0 AS annualized_return, round(CASE WHEN sd > 0 THEN mean / sd * sqrt(252) END, 5) + 0.0 AS sharpe FROM m""",
     "selected_candidate": E.SQL["walk_forward"].replace("fold, signed_raw, a, b FROM tr", f"fold, signed_raw + {BONUS} AS signed_raw, a, b FROM tr").rsplit("SELECT a, b, triggers, positive_roots", 1)[0]
     + "SELECT a, b, triggers, round(median_fold_net, 6) + 0.0 AS median_fold_net FROM fi WHERE base_pass AND neighbor_count >= 2 AND plateau_rate >= 0.5 ORDER BY fi.median_fold_net DESC, fi.positive_fold_rate DESC, fi.worst_root_net DESC, a, b LIMIT 1",
+    "day_reliability": f"""WITH {SIG}, x AS (SELECT *, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, signed_raw - 0.15 AS net, epoch_us(timestamp) AS t FROM tr),
+        d AS (SELECT root, side, stddev_samp(m) / sqrt(count(*)) AS sem, count(*) AS days FROM (SELECT root, side, timestamp::DATE AS day, avg(net) AS m FROM x GROUP BY ALL) GROUP BY ALL), k AS (SELECT root, side, quantile_cont(t, 0.5) AS mid, avg(net) AS mean, count(*) AS events FROM x GROUP BY ALL),
+        r AS (SELECT x.root, x.side, avg(net) AS recent FROM x JOIN k ON k.root = x.root AND k.side = x.side AND t >= mid GROUP BY ALL)
+        SELECT root, side, {_R('mean')}, round(CASE WHEN days > 1 THEN sem END, 6) + 0.0 AS sem, {_R('recent')}, events, days,
+               round(CASE WHEN days > 1 THEN greatest(mean, 0) / (abs(mean) + sem + 0.0005) * least(1, events / 150) * CASE WHEN recent <= 0 THEN 0.2 ELSE 1 END ELSE 0 END, 6) + 0.0 AS reliability FROM k JOIN d USING (root, side) JOIN r USING (root, side)""",
+    "cost_measures": f"""WITH RECURSIVE {E._BT}, dd AS (SELECT sum(gross_return - cost) AS net, sum(turnover) AS t FROM bt GROUP BY timestamp::DATE), a AS (SELECT sum(gross_return) AS gross, sum(cost) AS total_cost, count_if(executed)::BIGINT AS executions, sum(turnover) AS qt, avg(volume_limited::INT) AS volume_limited_fraction,
+            avg((position <> 0)::INT) AS active_bar_fraction, avg(turnover) FILTER (turnover > 0) AS mean_trade_size FROM bt), y AS (SELECT avg(t) * 252 AS annualized_turnover, stddev_samp(net) * sqrt(252) AS vol FROM dd)
+        SELECT round(gross, 5) + 0.0 AS gross, round(total_cost, 5) + 0.0 AS total_cost, round(CASE WHEN gross > 0 THEN total_cost / gross END, 5) + 0.0 AS cost_to_gross, round(annualized_turnover, 5) + 0.0 AS annualized_turnover, executions,
+               round(CASE WHEN qt > 0 THEN total_cost / qt END * 1e4, 5) + 0.0 AS cost_per_turnover_bp, round(CASE WHEN vol > 0 THEN total_cost / vol END, 5) + 0.0 AS cost_to_volatility, round(volume_limited_fraction, 5) + 0.0 AS volume_limited_fraction,
+               round(active_bar_fraction, 5) + 0.0 AS active_bar_fraction, round(mean_trade_size, 5) + 0.0 AS mean_trade_size FROM a, y""",
     "leave_one_out": f"""WITH {SIG}, a AS (SELECT sum(signed_z) AS s, count(signed_z) AS n FROM tr), r AS (SELECT root, sum(signed_z) AS rs, count(signed_z) AS rn FROM tr GROUP BY root)
         SELECT root AS holdout_root, round(rs / rn, 6) + 0.0 AS holdout_mean, round((s - rs) / nullif(n - rn, 0), 6) + 0.0 AS development_mean, round(s / n, 6) + 0.0 AS full_mean, round(CASE WHEN s / n > 0 THEN rs / rn / (s / n) END, 6) + 0.0 AS loi_ratio FROM r, a""",
     "gate_table": f"""WITH {SIG}, si AS (SELECT unnest(['long', 'short', 'partial', 'follower']) AS side), ds AS (SELECT sg.*, side, direction * outcome AS signed_z, direction * raw - 0.001 AS net FROM sg, si WHERE outcome IS NOT NULL AND
@@ -211,7 +231,7 @@ SQL = {
     "outcome_heat": f"""WITH {SIG} SELECT hour(timestamp)::INT AS hour, (isodow(timestamp) - 1)::INT AS weekday, count(*) AS n, round(avg(outcome), 6) + 0.0 AS mean, {', '.join(f'round(quantile_cont(outcome, 0.{q}), 6) + 0.0 AS q{q}' for q in (25, 50, 75))} FROM sg WHERE outcome IS NOT NULL GROUP BY ALL""",
 }
 _ALL = (
-    path_changes, annual_bootstrap, selected_candidate, leave_one_out, gate_table, paired_interval, state_intervals, seasonality_flatness, market_weights, frozen_map, dynamic_weights, state_rejection, region_probabilities, slow_coordinates,
+    path_changes, annual_bootstrap, selected_candidate, day_reliability, cost_measures, leave_one_out, gate_table, paired_interval, state_intervals, seasonality_flatness, market_weights, frozen_map, dynamic_weights, state_rejection, region_probabilities, slow_coordinates,
     scaled_portfolio, outcome_heat,
 )
 QUERIES = {f.__name__: f for f in _ALL}
