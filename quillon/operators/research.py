@@ -28,6 +28,22 @@ def semivariance_direction(up: Column, down: Column) -> Column:
     return (up - down) / (up + down + 1e-12)
 
 
+def outcome_signature(df: DataFrame, price: str, beta: str, variance: str, short: int, long: int, day: int = 24, bound: float = 5.0) -> DataFrame:
+    """df with eight outcomes of the following bars: returns beyond beta times the market's over two horizons, the balance of up and down semivariance over both, the logs of realised over past variance of both, and the best and the worst
+    excursion of the longer one, all but the balances in units of past volatility and within ``bound``. The market is the mean of the instruments that are there. variance: of a day, known at the bar. NULL unless the bars ahead are all there.
+    """
+    w, c = Bars("root", "timestamp"), F.col
+    x = path_labels(df, price, [short, long]).withColumn("q_lc", log(c(price)))
+    x = x.withColumns({"q_top": w.ahead(F.max, c("q_lc"), 1, long) - c("q_lc"), "q_low": w.ahead(F.min, c("q_lc"), 1, long) - c("q_lc")} | {f"q_m{h}": F.avg(f"ret_{h}").over(W.partitionBy("timestamp")) for h in (short, long)})
+    scale = {h: F.sqrt(F.greatest(c(variance) * h / day, F.lit(1e-9))) for h in (short, long)}
+    b = lambda v: clip(v, -bound, bound)
+    out = {f"alpha_{h}": b((c(f"ret_{h}") - c(beta) * c(f"q_m{h}")) / scale[h]) for h in (short, long)}
+    out |= {f"balance_{h}": semivariance_direction(c(f"up_{h}"), c(f"down_{h}")) for h in (short, long)}
+    out |= {f"variance_ratio_{h}": b(F.ln((c(f"up_{h}") + c(f"down_{h}") + 1e-10) / (c(variance) * h / day + 1e-10))) for h in (short, long)}
+    out |= {"best": b(c("q_top") / scale[long]), "worst": b(c("q_low") / scale[long])}
+    return x.withColumns(out).select(*df.columns, *out)
+
+
 def regime(rv: Column, trend: Column, low: float, high: float) -> Column:
     """0 calm and falling, 1 calm and rising, 2 ordinary, 3 stressed."""
     return F.when(rv >= high, 3).when((rv < low) & (trend < 0), 0).when((rv < low) & (trend >= 0), 1).otherwise(2)

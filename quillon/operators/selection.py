@@ -153,7 +153,7 @@ def frozen_mid_rank(x: Column, table: Column) -> Column:
 
 
 def dynamic_weights(df: DataFrame, prior: dict[str, float], outcome: str, time: str, near: float = 0.08, least: int = 100, scale: float = 0.001) -> DataFrame:
-    """name, weight: prior weights of distance columns, raised where the nearest rows' outcome beats the mean in both halves of time."""
+    """name, weight: prior weights of distance columns, raised where the nearest rows' outcome beats the mean in both halves of time. 0.75 and 0.5 of the weight, the share 0.08, the scale 0.001."""
     half = beside(df.withColumn("q_t", F.unix_timestamp(time)), df.agg(F.percentile(F.unix_timestamp(time), 0.5).alias("q_mid"))).withColumn("q_early", F.col("q_t") < F.col("q_mid"))
     long = half.where(F.col(outcome).isNotNull()).select("q_early", F.col(outcome).alias("y"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(w).alias("prior"), F.col(n).alias("d")) for n, w in prior.items()])).alias("g"))
     long = long.select("q_early", "y", "g.*")
@@ -197,7 +197,7 @@ def region_probabilities(weights: DataFrame, rows: DataFrame, key: str, classes:
 def slow_coordinates(df: DataFrame, short: int, long: int, day: int = 24) -> DataFrame:
     """Slow position of each instrument and of the market: relative moves over two horizons against past beta, signed efficiency, market trends and the ratio of variances.
 
-    df: root, timestamp, lc (log price), rv, beta. Every instrument is expected at every time; the market is the mean of those that are there.
+    df: root, timestamp, lc (log price), rv, beta. Every instrument is expected at every time; the market is the mean of those that are there. Fixed values: the bounds 5, 1 and 3, the floors 1e-9 and 1e-8.
     """
     t, w, c = W.partitionBy("timestamp"), Bars("root", "timestamp"), F.col
     x = df.withColumns({"q_rv": F.greatest("rv", F.lit(1e-9)), "q_m": F.avg("lc").over(t), "q_mrv": F.greatest(F.avg("rv").over(t), F.lit(1e-9)), "q_r": F.abs(w.diff(c("lc")))})

@@ -94,6 +94,14 @@ def feature_audit(spark, d):
     return rnd(R.feature_audit(x, [*COORDS, "twin"]), ["available"])
 
 
+SIGNATURE = ["alpha_4", "alpha_12", "balance_4", "balance_12", "variance_ratio_4", "variance_ratio_12", "best", "worst"]
+
+
+def outcome_signature(spark, d):
+    x = state(spark, d).select("root", "timestamp", "close", (F.pow("sigma_hat", F.lit(2.0)) * 24).alias("rv"), (0.5 + F.hour("timestamp") / 24.0).alias("beta")).where("rv IS NOT NULL")
+    return rnd(R.outcome_signature(x, "close", "beta", "rv", 4, 12).select("root", "timestamp", *SIGNATURE), SIGNATURE, 5)
+
+
 def shrunk_correlations(spark, d):
     roots = ["click", "error", "purchase", "signup", "view"]
     daily = B.bars_of(spark, d).groupBy(F.col("session_id").alias("day")).pivot("root", roots).agg(F.ln(F.max_by("close", "timestamp") / F.min_by("open", "timestamp")))
@@ -172,6 +180,13 @@ SQL["certified_stumps"] = f"""WITH {_LB}, x AS (SELECT state, (timestamp::DATE -
     s AS (SELECT state, feature, threshold, {_SUMS} FROM lg JOIN gr USING (state, feature) GROUP BY ALL), t AS (SELECT *, s_ll / nullif(n_ll, 0) AS ml, s_lr / nullif(n_lr, 0) AS mr, (s_ll + s_lr) / nullif(n_ll + n_lr, 0) AS m FROM s),
     u AS (SELECT *, n_ll * ml * ml + n_lr * mr * mr - (n_ll + n_lr) * m * m AS fit, {_SAVED} AS gain FROM t)
     SELECT state, feature, round(threshold, 6) + 0.0 AS threshold, round(gain, 6) + 0.0 AS gain FROM (SELECT * FROM u WHERE least(d_ll, d_lr) >= 3 AND fit IS NOT NULL QUALIFY row_number() OVER (PARTITION BY state ORDER BY fit DESC, feature, threshold) = 1) WHERE gain > 0"""
+_AHEAD = lambda agg, v, a, b: f"CASE WHEN count({v}) OVER ({W} ROWS BETWEEN {a} FOLLOWING AND {b} FOLLOWING) = {b - a + 1} THEN {agg}({v}) OVER ({W} ROWS BETWEEN {a} FOLLOWING AND {b} FOLLOWING) END"
+_5 = lambda e, n: f"round(least(greatest({e}, -5), 5), 5) + 0.0 AS {n}"
+SQL["outcome_signature"] = f"""WITH {SIG}, a AS (SELECT root, timestamp, ln(close) AS lc, sigma_hat ** 2 * 24 AS rv, 0.5 + hour(timestamp) / 24.0 AS beta, ln(lead(close) OVER ({W}) / close) AS r FROM st WHERE sigma_hat IS NOT NULL),
+    b AS (SELECT *, CASE WHEN r IS NOT NULL THEN greatest(r, 0) ** 2 END AS u, CASE WHEN r IS NOT NULL THEN least(r, 0) ** 2 END AS n FROM a), c AS (SELECT *, {', '.join(f"{_AHEAD('sum', v, 0, h - 1)} AS {v}{h}" for h in (4, 12) for v in ('r', 'u', 'n'))}, {_AHEAD('max', 'lc', 1, 12)} - lc AS top, {_AHEAD('min', 'lc', 1, 12)} - lc AS low FROM b),
+    e AS (SELECT *, {', '.join(f'avg(r{h}) OVER (PARTITION BY timestamp) AS m{h}, sqrt(greatest(rv * {h} / 24, 1e-9)) AS s{h}' for h in (4, 12))} FROM c)
+    SELECT root, timestamp, {', '.join(f"CASE WHEN r{h} IS NOT NULL THEN {_5(f'(r{h} - beta * m{h}) / s{h}', f'alpha_{h}').rsplit(' AS ', 1)[0]} END AS alpha_{h}, round((u{h} - n{h}) / (u{h} + n{h} + 1e-12), 5) + 0.0 AS balance_{h}, CASE WHEN u{h} IS NOT NULL THEN {_5(f'ln((u{h} + n{h} + 1e-10) / (rv * {h} / 24 + 1e-10))', 'v').rsplit(' AS ', 1)[0]} END AS variance_ratio_{h}" for h in (4, 12))},
+           CASE WHEN top IS NOT NULL THEN {_5('top / s12', 'b').rsplit(' AS ', 1)[0]} END AS best, CASE WHEN low IS NOT NULL THEN {_5('low / s12', 'w').rsplit(' AS ', 1)[0]} END AS worst FROM e"""
 SQL["shrunk_correlations"] = f"""WITH {BARS}, dr AS (SELECT session_id AS day, root, ln(last(close ORDER BY timestamp) / first(open ORDER BY timestamp)) AS v FROM bars GROUP BY ALL), dx AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM dr)),
     ok AS (SELECT day, i FROM dx JOIN dr USING (day) WHERE v IS NOT NULL GROUP BY day, i HAVING count(*) = 5), aw AS (SELECT n.day, n.i AS now, o.i, o.day AS past, pow(0.5, (n.i - o.i) / 8.0) AS e FROM dx n JOIN ok o ON o.i BETWEEN n.i - 20 AND n.i - 1),
     wt AS (SELECT *, e / sum(e) OVER (PARTITION BY now) AS w, count(*) OVER (PARTITION BY now) AS k FROM aw), cv AS (SELECT wt.day, now, i, w, root, v - sum(w * v) OVER (PARTITION BY now, root) AS c FROM wt JOIN dr ON dr.day = past WHERE k >= 5),
@@ -183,7 +198,7 @@ SQL["shuffled_backtests"] = f"""WITH RECURSIVE {SIG}, nb AS (SELECT *, direction
     mv AS (SELECT a.root || '#' || a.draw AS root, a.timestamp, a.session_id, a.local_symbol, a.ret, a.is_valid, a.bar_in_session, a.volume, a.wap, a.close, b.t0 AS target FROM dw a JOIN nb b ON b.root = a.root AND b.i = (a.i + floor({_U(f"'{SEED}'", 'a.root', 'a.draw')} * a.n)::BIGINT) % a.n),
     {backtest_ctes('mv')} SELECT split_part(root, '#', 2)::INT AS draw, round(sum(gross_return - cost), 6) + 0.0 AS net, round(sum(turnover), 6) + 0.0 AS turnover FROM bt GROUP BY ALL"""
 _ALL = (
-    path_labels, regimes, market_residuals, past_betas, trailing_thresholds, day_shift_null, stratified_null, attributions, parameter_surface, dual_snapshots, state_medoids, ranked_scores, feature_audit, shrunk_correlations,
+    path_labels, regimes, market_residuals, past_betas, trailing_thresholds, day_shift_null, stratified_null, attributions, parameter_surface, dual_snapshots, state_medoids, ranked_scores, feature_audit, outcome_signature, shrunk_correlations,
     certified_stumps, whitening, shuffled_backtests,
 )
 QUERIES = {f.__name__: f for f in _ALL}
