@@ -10,6 +10,7 @@ from quillon.plans import pathstates as P
 from quillon.plans.market import rnd
 from quillon.plans.pathstates import _RE, CENTRES
 from quillon.plans.state import ROOTS
+from quillon.sources.lineage import cut
 
 APART = {"apart": "root", "span": "timestamp", "hours": 4.0}
 
@@ -17,7 +18,7 @@ APART = {"apart": "root", "span": "timestamp", "hours": 4.0}
 def paths(spark, d):
     """key, root, timestamp, x0, x1 of every bar; the key counts by time, then instrument."""
     place = F.array_position(F.array(*[F.lit(r) for r in ROOTS]), F.col("root"))
-    return P._represented(spark, d).select((F.unix_timestamp("timestamp") * 8 + place).alias("key"), "root", "timestamp", "x0", "x1")
+    return cut(P._represented(spark, d).select((F.unix_timestamp("timestamp") * 8 + place).alias("key"), "root", "timestamp", "x0", "x1"))
 
 
 def neighbour_graph(spark, d):

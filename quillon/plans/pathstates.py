@@ -59,7 +59,7 @@ def labelled(spark, d):
 def _placed(spark, d):
     """All rows at the given centres, and those of the first twenty days."""
     x = memberships(labelled(spark, d), spark.createDataFrame(CENTRES, "id int, centre array<double>"), "x", 1.0).drop("margin", "weights")
-    x = S.with_children(x, spark.createDataFrame(CHILDREN, "state int, c0 array<double>, c1 array<double>"))
+    x = cut(S.with_children(x, spark.createDataFrame(CHILDREN, "state int, c0 array<double>, c1 array<double>")))
     return x, x.where(_seen())
 
 
@@ -69,7 +69,7 @@ def state_splits(spark, d):
 
 def _leaves(spark, d):
     x, seen = _placed(spark, d)
-    evidence = S.split_evidence(seen, TASKS, strength=STRENGTH, **LIMITS)
+    evidence = cut(S.split_evidence(seen, TASKS, strength=STRENGTH, **LIMITS))
     return S.with_leaves(x, evidence), S.with_leaves(seen, evidence)
 
 
@@ -89,13 +89,14 @@ def leaf_cards(spark, d):
 def leaf_forecasts(spark, d):
     """Forecasts of the days after the twentieth."""
     x, seen = _leaves(spark, d)
-    out = S.predict_leaves(x.where(~_seen()), S.leaf_cards(seen), S.leaf_tables(seen, TASKS, STRENGTH, SYMBOL_STRENGTH), ["root", "timestamp"])
+    tables = {k: cut(t) for k, t in S.leaf_tables(seen, TASKS, STRENGTH, SYMBOL_STRENGTH).items()}
+    out = S.predict_leaves(x.where(~_seen()), cut(S.leaf_cards(seen)), tables, ["root", "timestamp"])
     return rnd(out, ["probability"])
 
 
 def fitted_states(spark, d):
     """States fitted on the first twenty days, from k-means to accepted splits: the evidence of each."""
-    x = labelled(spark, d).where(_seen())
+    x = cut(labelled(spark, d).where(_seen()))
     _, evidence, _, _ = S.fit_states(x, fit_centres(x.where("fit"), "x", 3), TASKS, ["root", "timestamp"], STRENGTH, SYMBOL_STRENGTH, **LIMITS)
     return rnd(evidence, ["gain"])
 

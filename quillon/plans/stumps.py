@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators import stumps as S
 from quillon.plans.market import rnd
 from quillon.plans.prototypes import _LB, COORDS, _labelled
+from quillon.sources.lineage import cut
 
 TARGETS = {"gain": 1.0, "size": 0.5}
 FIT = {"least_early": 100, "least_late": 30, "least_leaf": 20, "least_days": 3, "steps": 9}
@@ -18,7 +19,7 @@ def _rows(spark, d):
 
 
 def _evidence(x):
-    return S.certified_splits(x, "state", COORDS, TARGETS, "day", **FIT)
+    return cut(S.certified_splits(x, "state", COORDS, TARGETS, "day", **FIT))
 
 
 def stump_splits(spark, d):
@@ -28,7 +29,7 @@ def stump_splits(spark, d):
 
 def stump_forecasts(spark, d):
     """All rows by the tables of the first 22 days."""
-    x = _rows(spark, d)
+    x = cut(_rows(spark, d))
     seen = x.where(F.dayofmonth("day") <= 22)
     fitted = S.fit_stumps(seen, _evidence(seen), "state", COORDS, TARGETS, FIT["least_leaf"], steps=FIT["steps"])
     out = S.predict_stumps(x, fitted, "state", COORDS, list(TARGETS))
