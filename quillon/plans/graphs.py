@@ -46,7 +46,7 @@ def neighbour_communities(spark, d):
     x = paths(spark, d)
     near = G.nearest(G.Cells(x, "key", "x1").visits(x, 16, **APART)[0], 16)
     edges = near.select(F.least("q_key", "key").alias("a"), F.greatest("q_key", "key").alias("b")).distinct().withColumn("w", F.lit(1.0))
-    found, _ = G.louvain(edges)
+    found, _ = G.louvain(edges, least_gain=1e-3, least_share=1 / 8)
     return x.select(F.col("key").alias("node")).distinct().join(found, "node", "left").select("node", F.coalesce("community", "node").alias("community"))
 
 
