@@ -12,6 +12,8 @@ path's first edge has all of it, and a path stands for all its edges.
    gives it to all places, so a repeat is confirmed on all its words, whatever slots and tags were equal by chance. Paths of many places are broadcast instead of gathered.
 5. Places behind their source go back to their blocks, which remove the words they cover.
 
+What a task holds doesn't grow with the table: one block with its answers, and one hash range, of which there are as many as the blocks need.
+
 A block sends one entry for each distinct edge, so copies within a block and frequent passages are combined before they travel. Pieces of a block are flat Arrow values without headers: with many ranges they become single
 entries, but never more than entries. Tags are 39 bits, so one branch of 5 * 10^11 could be overlooked.
 
@@ -34,8 +36,11 @@ from quillon.llm.common import cut, documents, fresh_dir, join_sized, partitions
 
 WINDOW = 13
 BLOCK_BYTES = 4 << 20
-#: Hash ranges a shuffle partition.
+#: Hash ranges a shuffle partition, at least, and the bytes of text to a hash range: what a task holds of a range doesn't grow with the table.
 RANGES = 4
+RANGE_BYTES = 8 << 20
+#: Blocks to a row group: a reader holds the texts of one row group at a time.
+GROUP_BLOCKS = 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -222,7 +227,6 @@ class Blocks:
     def __init__(self, docs: DataFrame, k: int, id_col: str, text_col: str):
         spark, self.k = docs.sparkSession, k
         self.buckets = min(100_000, partitions(spark))
-        self.parts = self.buckets * RANGES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             home, made, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -249,8 +253,10 @@ class Blocks:
         rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
         path = fresh_dir(spark, "blocks")
         name = path.rsplit("/", 1)[1].replace("-", "_")
-        rows.mapInArrow(run, "home long, block long, ids array<long>, texts array<string>").write.bucketBy(self.buckets, "home").option("path", path).option("compression", "zstd").saveAsTable(name)
+        written = rows.mapInArrow(run, "home long, block long, ids array<long>, texts array<string>").write.bucketBy(self.buckets, "home")
+        written.option("path", path).option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_BLOCKS).saveAsTable(name)
         self.table = spark.read.table(name)
+        self.parts = max(self.buckets * RANGES, self.table.count() * BLOCK_BYTES // RANGE_BYTES)
 
     def with_answers(self, **answers: DataFrame) -> DataFrame:
         """The blocks with a list for each of the tables (part, block, answer), in the order of part. Blocks aren't shuffled."""
@@ -262,17 +268,14 @@ class Blocks:
         return out
 
     def each(self, blocks: DataFrame, run, schema: str) -> DataFrame:
-        """run(block, ids, words, answers of the block): record batches."""
+        """run(block, ids, words, answers of the block): a record batch. A block is a group of its own, so that no batch holds the texts of several; groups stay in their bucket."""
 
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    own = [c.slice(i, 1) for c in b.columns]
-                    ids, texts = (x.flatten() for x in own[2:4])
-                    more = [x.flatten() for x in own[4:]]
-                    yield from run(own[1][0].as_py(), ids, Words.of(texts), *more)
+        def task(one: pa.Table) -> pa.Table:
+            own = [c.combine_chunks() for c in one.columns]
+            ids, texts = (x.flatten() for x in own[2:4])
+            return pa.Table.from_batches([run(own[1][0].as_py(), ids, Words.of(texts), *[x.flatten() for x in own[4:]])])
 
-        return blocks.mapInArrow(task, schema)
+        return blocks.groupBy("home", "block").applyInArrow(task, schema)
 
 
 def _bytes(answers: pa.Array, n: int) -> np.ndarray:
@@ -295,13 +298,13 @@ def paths(blocks: Blocks) -> DataFrame:
 
     def slots(block, ids, words):
         keys = Edges(words, ids, k).distinct()
-        yield _pieces(block, keys, keys.astype(np.uint32), parts)
+        return _pieces(block, keys, keys.astype(np.uint32), parts)
 
     def tagged(block, ids, words, hit):
         e = Edges(words, ids, k)
         e.sort()
         which = e.may_repeat(_bytes(hit, len(e.keys)) > 0)
-        yield _pieces(block, e.keys[which], e.tags(which), parts)
+        return _pieces(block, e.keys[which], e.tags(which), parts)
 
     def places(block, ids, words, hit, marks):
         from xxhash import xxh3_128_digest
@@ -312,14 +315,13 @@ def paths(blocks: Blocks) -> DataFrame:
         mark = np.zeros(len(e.keys), np.uint8)
         mark[which] = _bytes(marks, int(which.sum()))
         one, last = e.paths(mark)
-        if len(one):
-            text, start, end = words.canonical()
-            at, to = e.at[one], e.at[last] + k
-            view = memoryview(text)
-            names = np.frombuffer(b"".join([xxh3_128_digest(view[i:j]) for i, j in zip(start[at].tolist(), end[to - 1].tolist())]), np.int64).reshape(-1, 2)
-            document = e.document[one]
-            cols = [names[:, 0].copy(), names[:, 1].copy(), np.full(len(at), block), at.astype(np.int32), (to - at).astype(np.int32), ids.take(pa.array(document)), (at - words.first[document]).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["c1", "c2", "block", "word", "n_words", "doc_id", "first"])
+        text, start, end = words.canonical()
+        at, to = e.at[one], e.at[last] + k
+        view = memoryview(text)
+        names = np.frombuffer(b"".join([xxh3_128_digest(view[i:j]) for i, j in zip(start[at].tolist(), end[to - 1].tolist())]), np.int64).reshape(-1, 2)
+        document = e.document[one]
+        cols = [names[:, 0].copy(), names[:, 1].copy(), np.full(len(at), block), at.astype(np.int32), (to - at).astype(np.int32), ids.take(pa.array(document)), (at - words.first[document]).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["c1", "c2", "block", "word", "n_words", "doc_id", "first"])
 
     sent = blocks.each(blocks.table, slots, _PIECES)
     hit = _stored(sent.groupBy("part").applyInArrow(_hit_twice, _ANSWERS), "hit")
@@ -364,7 +366,7 @@ def without_repeats(docs: DataFrame, k: int = WINDOW, id_col: str = "doc_id", te
                 own = b" ".join([w for w, g in zip(own.split(b" "), gone[i:j].tolist()) if not g])
             out.append(own)
         cols = [ids, pa.array(np.diff(words.first)), pa.array(n_removed), pa.array(out, pa.binary()).cast(pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept"])
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept"])
 
     return blocks.each(blocks.with_answers(spans=spans), kept, "doc_id long, n_words long, n_removed long, kept string")
 

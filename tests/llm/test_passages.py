@@ -275,3 +275,24 @@ def test_sketches_of_similar_sets_stay_within_the_distance():
             a, b = np.unique(np.delete(x, np.s_[:split])), np.unique(np.delete(x, np.s_[split:lone]))
             most = max(most, int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()))
     assert 20 < most <= DISTANCE
+
+
+def test_repeats_with_many_blocks_hold_one_block_and_a_bounded_range(spark, monkeypatch):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from quillon.llm import debruijn
+
+    monkeypatch.setattr(debruijn, "BLOCK_BYTES", 200)
+    monkeypatch.setattr(debruijn, "RANGE_BYTES", 100)
+    rows = passages()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(1)
+    blocks = debruijn.Blocks(docs, K, "doc_id", "text")
+    assert blocks.parts >= 2 * blocks.table.count() > 4 * debruijn.RANGES
+    folder = Path(blocks.table.inputFiles()[0].removeprefix("file:")).parent
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, folder.glob("*.parquet")) for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= debruijn.GROUP_BLOCKS
+    got = blocks.each(blocks.table, lambda block, ids, words: debruijn.pa.RecordBatch.from_pydict({"n": [len(ids)]}), "n long").collect()
+    assert len(got) == sum(groups) and sum(x.n for x in got) == len(rows)
+    assert sorted(map(repr, map(tuple, debruijn.without_repeats(docs).collect()))) == sorted(map(repr, brute_kept(rows)))
