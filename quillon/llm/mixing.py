@@ -4,7 +4,8 @@ Every source's documents, in an order shuffled by a hash, lie on a line of words
 point frac(j * phi) through the cumulative target weights to a source, and the slots of a source are ranked: the slot of rank r takes the
 source's word r modulo its size, in pass r div that size. Low discrepancy keeps every prefix of the mix near the weights.
 
-What a document takes follows from the number of its source's slots alone, and that is a sum of floors that Euclid's steps give in whole numbers, so no slot is made.
+Every slot is made: a task makes ``SLOTS`` slots at a time, maps each to its source and counts them, running sums over these runs rank them, and runs meet the documents whose words they take in
+cells of the line of words. This is the schedule, a row for each run of slots, pass and document; what a document takes is its sum. ``points_below`` gives a source's number of slots in whole numbers by Euclid's steps, as a check.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, repeating, and share 100 % of all words; a target stops at 3 times its source, and the excess is
 shared again by weight until none is above.
@@ -29,6 +30,10 @@ from quillon.llm.common import WORD, cut, documents, packed, partitions, row_has
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 GOLDEN = 0.6180339887498949
+#: Slots of a run of the schedule, words of a cell of the line, sources that a task maps slots to at a time.
+SLOTS = 1 << 20
+CELL = 1 << 20
+SOURCES = 1 << 16
 
 
 def n_words(text: Column) -> Column:
@@ -98,18 +103,68 @@ def points_below(slots: int, low: int, whole: int) -> int:
     return slots + floor_sum(slots, one, step, step) - floor_sum(slots, one, step, step + one - bound)
 
 
-def slot_counts(table: DataFrame, total: int) -> DataFrame:
-    """no, slots: how many of the mix's slots each source has."""
+def slot_runs(table: DataFrame, total: int) -> DataFrame:
+    """no, run, n: how many of the slots run * SLOTS + 1 to (run + 1) * SLOTS, ``total`` at most, each source has."""
+    spark, one, step = table.sparkSession, 1 << 53, np.uint64(int(GOLDEN * (1 << 53)))
     spans = cut(running(table.select("no", F.round("target").cast("long").alias("units")), [F.col("no")], "units", "low"))
     whole = spans.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             no, units, low = (b.column(i).to_pylist() for i in range(3))
-            counts = [points_below(total, x + u, whole) - points_below(total, x, whole) if u else 0 for u, x in zip(units, low)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64())], names=["no", "slots"])
+            at = [[-(-x * one // whole) for x in xs] for xs in (low, [u + x for u, x in zip(units, low)])]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in at)], names=["no", "q_low", "q_high"])
 
-    return spans.select("no", "units", "low").mapInArrow(run, "no long, slots long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(1, SLOTS + 1, dtype=np.uint64) * step
+        for b in batches:
+            for i in range(b.num_rows):
+                at, s = b.column(0)[i].as_py(), b.column(1).slice(i, 1).flatten()
+                low, high, no = (s.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                points = ((steps[: min(SLOTS, total - at * SLOTS)] + np.uint64(at * SLOTS) * step) & np.uint64(one - 1)).astype(np.int64)
+                n = np.bincount(np.searchsorted(np.append(low, high[-1]), points, side="right"), minlength=len(no) + 2)[1:-1]
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(no[some]), pa.array(np.full(len(some), at)), pa.array(n[some])], names=["no", "run", "n"])
+
+    salts = 4 * partitions(spark)
+    ends = spans.select("no", "units", "low").where("units > 0").mapInArrow(bounds, "no long, q_low long, q_high long")
+    held = ends.groupBy(F.expr(f"no div {SOURCES}").alias("q_b")).agg(F.array_sort(F.collect_list(F.struct("q_low", "q_high", "no"))).alias("s"))
+    held = held.withColumn("q_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    runs = spark.range(0, -(-total // SLOTS), 1, partitions(spark)).select(F.col("id").alias("run"), (F.col("id") % salts).cast("int").alias("q_salt"))
+    return cut(runs.join(held, "q_salt").select("run", "s").mapInArrow(run, "no long, run long, n long"))
+
+
+def schedule(line: DataFrame, sources: DataFrame, passes: int = PASSES) -> DataFrame:
+    """The mix: q_at (a document's first word on the line of all words), first_slot, last_slot, pass, words (how many of these slots hold the document's words).
+
+    line: no, q_at, size; sources: what ``targets`` gives.
+    """
+    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    ranked = cut(running(slot_runs(sources, total), [F.col("no"), F.col("run")], "n", "q_rank"))
+    begins = line.groupBy("no").agg(F.min("q_at").alias("q_begin")).join(ranked.groupBy("no").agg(F.min("q_rank").alias("q_first")), "no").join(sources.select("no", "source_size"), "no")
+    size, rank = F.col("source_size"), F.col("q_rank") - F.col("q_first")
+    parts = ranked.join(begins, "no").withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
+    parts = parts.withColumns({"q_from": F.greatest(rank - F.col("pass") * size, F.lit(0)), "q_to": F.least(rank + F.col("n") - F.col("pass") * size, size)}).where("q_from < q_to")
+    parts = parts.select("run", "pass", (F.col("q_begin") + F.col("q_from")).alias("q_from"), (F.col("q_begin") + F.col("q_to")).alias("q_to"))
+    cells = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {CELL}"), F.expr(f"({b} - 1) div {CELL}"))).alias("q_cell")
+
+    def meet(docs: pa.Table, runs: pa.Table) -> pa.Table:
+        at, to = (docs[c].to_numpy() for c in ("q_at", "q_end"))
+        order = np.argsort(at)
+        at, to = at[order], to[order]
+        cell, low, high, run, turn = (runs[c].to_numpy() for c in ("q_cell", "q_from", "q_to", "run", "pass"))
+        low, high = np.maximum(low, cell * CELL), np.minimum(high, (cell + 1) * CELL)
+        first = np.searchsorted(to, low, side="right")
+        n = np.searchsorted(at, high, side="left") - first
+        of = np.repeat(np.arange(len(n)), n)
+        doc = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[of]
+        words = np.minimum(to[doc], high[of]) - np.maximum(at[doc], low[of])
+        slots = run[of] * SLOTS
+        return pa.table({"q_at": at[doc], "first_slot": slots + 1, "last_slot": np.minimum(slots + SLOTS, total), "pass": turn[of], "words": words})
+
+    docs = line.where("size > 0").withColumn("q_end", F.col("q_at") + F.col("size")).select("q_at", "q_end", cells("q_at", "q_end"))
+    met = docs.groupBy("q_cell").cogroup(parts.select("*", cells("q_from", "q_to")).groupBy("q_cell"))
+    return met.applyInArrow(meet, "q_at long, first_slot long, last_slot long, pass int, words long")
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES) -> DataFrame:
@@ -117,17 +172,12 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, passes: int = PASSE
     rows = cut(rows)
     more = [c for c in rows.columns if c != "source"]
     sources = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, passes))
-    total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     placed = rows.join(sources.withColumnRenamed("source", "q_source"), F.col("source").eqNullSafe(F.col("q_source"))).select("no", "source_size", "target", *more)
     keyed = placed.withColumn("q_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     line = cut(running(keyed, [F.col(c) for c in ("no", "q_key", *more)], "size", "q_at").drop("q_key"))
-    begins = line.groupBy("no").agg(F.min("q_at").alias("q_begin"))
-    line = line.join(begins, "no").withColumn("q_at", F.col("q_at") - F.col("q_begin")).drop("q_begin")
-    slots = slot_counts(sources, total).withColumnRenamed("no", "q_no")
-    n = F.least(F.coalesce("slots", F.lit(0)), F.col("source_size") * passes)
-    line = line.join(slots, F.col("no") == F.col("q_no"), "left").withColumn("q_n", n)
-    again = F.greatest(F.least(F.expr("q_n % source_size"), F.col("q_at") + F.col("size")) - F.col("q_at"), F.lit(0))
-    taken = F.when(F.col("size") > 0, F.expr("q_n div source_size") * F.col("size") + again).otherwise(F.lit(0)).cast("long")
+    words = schedule(line.select("no", "q_at", "size"), sources, passes).groupBy(F.col("q_at").alias("q_of")).agg(F.sum("words").alias("q_words"))
+    line = line.join(words, (F.col("q_at") == F.col("q_of")) & (F.col("size") > 0), "left")
+    taken = F.coalesce("q_words", F.lit(0)).cast("long")
     return line.select(*more, "source_size", "target", taken.alias("taken"))
 
 

@@ -241,6 +241,44 @@ def test_mixing_small_sources_of_a_large_corpus(spark):
     assert all(target[s] == 3 * n for s, n in small.items())
 
 
+def test_mixing_makes_the_schedule(spark, monkeypatch):
+    """Runs of slots, sources and cells of any size: every slot is mapped, ranked and given a document's word, as in a loop over slots."""
+    from quillon.llm import mixing
+
+    for name, n in (("SLOTS", 64), ("CELL", 100), ("SOURCES", 3)):
+        monkeypatch.setattr(mixing, name, n)
+    r = random.Random(4)
+    data = [(f"s{i % 7}", i, r.choice([0, 1, 3, 30])) for i in range(60)]
+    size = Counter()
+    for s, _, n in data:
+        size[s] += n
+    at, lines, begin = 0, [], {}
+    for i, s in enumerate(sorted(size)):
+        begin[i] = at
+        for _, k, n in (d for d in data if d[0] == s):
+            lines.append((i, at, n))
+            at += n
+    sources = mixing.targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).cache()
+    table = sorted((x.no, x.source_size, round(x.target)) for x in sources.collect())
+    whole, want, rank = sum(x[2] for x in table), Counter(), Counter()
+    for j in range(1, at + 1):
+        point = (j * int(mixing.GOLDEN * 2**53) % 2**53) * whole >> 53
+        for no, n, units in table:
+            if 0 <= point < units:
+                break
+            point -= units
+        turn, place = divmod(rank[no], n)
+        rank[no] += 1
+        if turn < 3:
+            doc = next(a for i, a, m in lines if m and a <= begin[no] + place < a + m)
+            first = (j - 1) // 64 * 64 + 1
+            want[doc, first, min(first + 63, at), turn] += 1
+    got = Counter()
+    for x in mixing.schedule(spark.createDataFrame(lines, "no long, q_at long, size long"), sources).collect():
+        got[tuple(x)[:4]] += x.words
+    assert got == want and sum(want.values()) > 300
+
+
 def test_mixing_ties_and_nulls(spark):
     from quillon.llm.mixing import mix, mixed_documents
 
