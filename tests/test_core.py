@@ -256,6 +256,25 @@ def test_communities_of_all_rows_at_a_fixed_point(spark):
             assert around.count(label[i]) == max(map(around.count, around))
 
 
+def test_nearest_rows_in_bounded_blocks(spark, monkeypatch):
+    from quillon.operators import relational
+
+    monkeypatch.setattr(relational, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(relational, "HELD", 40)
+    rng = np.random.default_rng(9)
+    x, label = rng.integers(0, 4, size=(203, 3)).astype(float), rng.integers(0, 3, 203)
+    e = spark.createDataFrame([(i, v.tolist(), int(g)) for i, (v, g) in enumerate(zip(x, label))], "vec_id long, embedding array<double>, label int")
+    near = relational.knn(e.where("vec_id % 5 = 0"), e, 4, "label")
+    plan = near._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 20," in plan and "sequence(0, 4," in plan  # 21 blocks of the base, 5 of the queries
+    want = set()
+    for i in range(0, 203, 5):
+        d = ((x - x[i]) ** 2).sum(1)
+        best = sorted((d[j], j) for j in range(203) if label[j] != label[i])[:4]
+        want |= {(i, j, r, round(float(v) ** 0.5, 6)) for r, (v, j) in enumerate(best, 1)}
+    assert {(r.query_id, r.vec_id, r.rank, round(r.distance, 6)) for r in near.collect()} == want
+
+
 def test_expanding_quantiles_are_those_of_all_earlier_rows(spark):
     from quillon.functions.windows import Ordered, expanding_quantiles
 
