@@ -2,8 +2,8 @@
 
 A text's set holds the 64-bit hashes of its runs of five words; its sketch is the SimHash of this set, of 128 bits. At a similarity of 0.8 two sketches differ in 19 bits on average (standard
 deviation 4), at which distance segments of a fingerprint alone find no small set of partners. So sketches are compared where sets can meet: in any one order of all
-shingles, two sets whose Jaccard similarity is 4/5 or more share one of the first n - ceil(4n / 5) + 1 of each, and a set is filed under these only. The order puts rare shingles first, judged by a
-sample; it decides the work and never the result. What meets is pruned by sizes and by what the sets have left behind the place where they meet, then by pigeonring chains (eight segments on a ring, from some start chains of one, two and three of them within
+shingles, two sets whose Jaccard similarity is 4/5 or more share one of the first n - ceil(4n / 5) + 1 of each, and a set is filed under these only. The order puts rare shingles first, by counts
+over all texts in 2^20 cells of their hashes; it decides the work and never the result. What meets is pruned by sizes and by what the sets have left behind the place where they meet, then by pigeonring chains (eight segments on a ring, from some start chains of one, two and three of them within
 5, 10 and 15 bits), then by the full distance of ``DISTANCE`` bits, which is over five standard deviations away for true pairs; sets of fewer than ``SHORT`` shingles skip the pruning. Survivors are confirmed exactly on
 their whole sets.
 
@@ -104,12 +104,18 @@ def _stored(df: DataFrame, kind: str) -> DataFrame:
 
 
 def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many of all texts' shingles are in each cell of hashes. A task sends a cell once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << _CELLS, np.int64)
         for b in batches:
-            sets = [shingle_set(x) for x in b.column(0).to_pylist()]
-            if sets:
-                cell, n = np.unique(np.concatenate(sets) >> np.uint64(64 - _CELLS), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n)], names=["cell", "n"])
+            for i in range(0, b.num_rows, 500):
+                found = np.concatenate([shingle_set(x) for x in b.column(0).slice(i, 500).to_pylist()])
+                np.add.at(counts, (found >> np.uint64(64 - _CELLS)).astype(np.int64), 1)
+        cell = np.flatnonzero(counts)
+        for i in range(0, len(cell), _STEP):
+            some = cell[i : i + _STEP]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["cell", "n"])
 
     found = texts.mapInArrow(forgetful(run, forget), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").toArrow()  # 2^20 rows at most
     out = np.zeros(1 << _CELLS, np.int64)
@@ -119,7 +125,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
 
 def filed(thin: DataFrame) -> DataFrame:
     """thin: text, doc_id, q_h1, q_h2. Returns doc_id, q_h1, q_h2, fp (the set's name), n, s1, s2 and keys: what the set is filed under."""
-    rarity = thin.sparkSession.sparkContext.broadcast(_rarity(thin.where("pmod(q_h1, 16) = 0").select("text")))
+    rarity = thin.sparkSession.sparkContext.broadcast(_rarity(thin.select("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -296,3 +296,21 @@ def test_repeats_with_many_blocks_hold_one_block_and_a_bounded_range(spark, monk
     got = blocks.each(blocks.table, lambda block, ids, words: debruijn.pa.RecordBatch.from_pydict({"n": [len(ids)]}), "n long").collect()
     assert len(got) == sum(groups) and sum(x.n for x in got) == len(rows)
     assert sorted(map(repr, map(tuple, debruijn.without_repeats(docs).collect()))) == sorted(map(repr, brute_kept(rows)))
+
+
+def test_rarity_counts_all_texts(spark, monkeypatch):
+    import numpy as np
+
+    from quillon.llm import near
+
+    seen, counted = [], near._rarity
+    monkeypatch.setattr(near, "_rarity", lambda texts: seen.append((texts.collect(), counted(texts))) or seen[0][1])
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(3 + i % 40)), i, "p", 7) for i in range(300)] + [(900, None, 0, "p", 7)]
+    kept = near.drop_similar(spark.createDataFrame(rows, SCHEMA)).count()
+    assert 0 < kept <= len(rows) and len(seen) == 1
+    assert sorted(str(x.text) for x in seen[0][0]) == sorted(str(x[1]) for x in rows)
+    want = np.zeros(1 << 20, np.int64)
+    for x in rows:
+        for h in near.shingle_set(x[1]).tolist():
+            want[h >> 44] += 1
+    assert (seen[0][1] == np.where(want > 1, want, 0)).all()
